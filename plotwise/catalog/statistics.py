@@ -23,18 +23,18 @@ def _(t):
     return n.join(S.distinct_counts(t.orders, ["o_orderpriority"], "o_custkey"), "o_orderpriority")
 
 
-@query("D2_farm_area", f"WITH {FARMS} SELECT x, y, country, year, farm_id, hh_size, round(farm_area_ha, 4) AS farm_area_ha FROM farms")
+@query("D2_farm_area", f"WITH {FARMS} SELECT x, y, country, year, farm_id, hh_size, round(farm_area_ha, 6) AS farm_area_ha FROM farms")
 def _(t):
-    return rounded(farms(t))
+    return rounded(farms(t), 6)
 
 
 @query(
     "D2_farm_area_strict",
-    f"""WITH {CLEAN} SELECT x, y, country, year, farm_id, hh_size, round(sum(measured_plot_area_ha), 4) AS farm_area_ha FROM capped
+    f"""WITH {CLEAN} SELECT x, y, country, year, farm_id, hh_size, round(sum(measured_plot_area_ha), 6) AS farm_area_ha FROM capped
   WHERE (country, year, farm_id) NOT IN (SELECT (country, year, farm_id) FROM capped WHERE measured_plot_area_ha IS NULL) GROUP BY ALL""",
 )
 def _(t):
-    return rounded(S.farm_area(clean_plots(t), "measured_plot_area_ha"))
+    return rounded(S.farm_area(clean_plots(t), "measured_plot_area_ha"), 6)
 
 
 @query(

@@ -52,10 +52,14 @@ def cut_points(df: DataFrame, name: str) -> Column:
     """Scalar subquery: ``chunk_count - 1`` ascending cut points of a column."""
     n = chunk_count(df)
     shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
+    rows = df.select("*", axis(df, name).alias("v")).where("v is not null")
+    if "_c" in df.columns:
+        # always true, but keeps the count in this branch: the pre-aggregated
+        # input then has one plan everywhere and its shuffle is reused
+        rows = rows.where("_c > 0")
     sketch = F.expr(f"percentile_approx(v, array({shares}), {4 * n})").alias("cuts")
     return (
-        df.select(axis(df, name).alias("v"))
-        .where(F.col("v").isNotNull())
+        rows.select("v")
         .withColumn("part", F.spark_partition_id() % SKETCH_GROUPS)
         .groupBy("part")
         .agg(sketch)

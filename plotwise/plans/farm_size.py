@@ -22,7 +22,7 @@ def farm_profile(plots: DataFrame, p: float = 0.95) -> DataFrame:
     farms = C.within_bbox(S.farm_area(clean_plots(plots)), "x", "y", (-18, 52, -35, 38))
     # farms are far fewer than plots and are read several times below
     farms = durable(farms.select("country", "year", "farm_area_ha"))
-    trimmed = C.trim_by_quantile(farms, ["country"], "farm_area_ha", p)
+    trimmed = durable(C.trim_by_quantile(farms, ["country"], "farm_area_ha", p))
     return S.profile_with_total(
         trimmed,
         "country",

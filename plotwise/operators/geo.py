@@ -1,3 +1,206 @@
-"""Placeholder until the grid operators follow."""
-from pyspark.sql import Column
+"""Points, cells and polygons: cell numbers, containment and neighbours."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from plotwise.functions.numbers import as_col
+
+
+@dataclass(frozen=True)
+class Grid:
+    """A regular lon/lat grid; cell numbers run along x from the lower left."""
+
+    x0: float
+    y0: float
+    res: float
+    nx: int
+
+    def col_at(self, x) -> Column:
+        return F.floor((as_col(x) - F.lit(self.x0)) / F.lit(self.res))
+
+    def row_at(self, y) -> Column:
+        return F.floor((as_col(y) - F.lit(self.y0)) / F.lit(self.res))
+
+    def number(self, col: Column, row: Column) -> Column:
+        """Cell number, NULL outside the columns of the grid."""
+        return F.when((col >= 0) & (col < self.nx) & (row >= 0), row * self.nx + col)
+
+    def cell(self, x, y) -> Column:
+        return self.number(self.col_at(x), self.row_at(y))
+
+    def col_of(self, cell) -> Column:
+        return F.pmod(as_col(cell), F.lit(self.nx).cast("long"))
+
+    def row_of(self, cell) -> Column:
+        return F.floor(as_col(cell) / self.nx)
+
+    def centre_x(self, cell) -> Column:
+        return F.lit(self.x0) + (self.col_of(cell) + 0.5) * F.lit(self.res)
+
+    def centre_y(self, cell) -> Column:
+        return F.lit(self.y0) + (self.row_of(cell) + 0.5) * F.lit(self.res)
+
+    def coarser(self, k: int) -> Grid:
+        return Grid(self.x0, self.y0, self.res * k, -(-self.nx // k))
+
+
+def cell_of(df: DataFrame, grid: Grid, x: str = "x", y: str = "y", out: str = "cell_id") -> DataFrame:
+    return df.withColumn(out, grid.cell(x, y))
+
+
+def extract_at(points: DataFrame, cells: DataFrame, grid: Grid, cols: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Values of the cell under each point; NULL where there is no cell."""
+    keyed = points.withColumn("_cell", grid.cell(x, y))
+    layer = cells.select(F.col("cell_id").alias("_cell"), *cols)
+    return keyed.join(layer, "_cell", "left").drop("_cell")
+
+
+# polygons ---------------------------------------------------------------------
+def rectangle(x0, x1, y0, y1) -> Column:
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    a, b, c, d = (as_col(v) for v in (x0, x1, y0, y1))
+    return F.array(corner(a, c), corner(b, c), corner(b, d), corner(a, d))
+
+
+def contains(ring: Column, x: Column, y: Column) -> Column:
+    """Even-odd ray casting; left and lower edges belong to the polygon."""
+    n = F.size(ring)
+    following = F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, F.lit(1), F.lit(1)))
+
+    def crosses(edge):
+        a, b = edge["a"], edge["b"]
+        straddles = (a["y"] > y) != (b["y"] > y)
+        at = F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"]
+        return straddles & (x < at)
+
+    edges = F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def polygon_blocks(polygons: DataFrame, size: float, keep: list[str]) -> DataFrame:
+    """Each polygon once per square block its bounding box touches."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    boxed = polygons.select(
+        *keep, "ring", F.array_min(xs).alias("_xa"), F.array_max(xs).alias("_xb"), F.array_min(ys).alias("_ya"), F.array_max(ys).alias("_yb")
+    )
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
+    return boxed.withColumn("_bx", F.explode(span("_xa", "_xb"))).withColumn("_by", F.explode(span("_ya", "_yb")))
+
+
+def attach_admin(points: DataFrame, polygons: DataFrame, fields: list[str], order: str, size: float = 1.0, x: str = "x", y: str = "y") -> DataFrame:
+    """Fields of the polygon holding each point; lowest ``order`` on overlap.
+
+    Distinct locations are matched once, through blocks, so a place reported by
+    many rows costs one test.  Rows outside every polygon get NULL.
+    """
+    spots = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null").distinct()
+    spots = spots.withColumn("_bx", F.floor(F.col("_x") / size)).withColumn("_by", F.floor(F.col("_y") / size))
+    renamed = polygons.select(F.col(order).alias("_order"), F.struct(*fields).alias("_fields"), "ring")
+    blocks = polygon_blocks(renamed, size, ["_order", "_fields"])
+    inside = F.col("_x").between(F.col("_xa"), F.col("_xb")) & F.col("_y").between(F.col("_ya"), F.col("_yb"))
+    hits = spots.join(blocks, ["_bx", "_by"]).where(inside).where(contains(F.col("ring"), F.col("_x"), F.col("_y")))
+    first = hits.groupBy("_x", "_y").agg(F.min_by("_fields", "_order").alias("_fields"))
+    return (
+        points.join(first, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left")
+        .select(*points.columns, *[F.col(f"_fields.{f}").alias(f) for f in fields])
+    )
+
+
+# neighbours ----------------------------------------------------------------------
+def knn(points: DataFrame, k: int, key: str = "point_id", x: str = "x", y: str = "y", levels: int = 16) -> DataFrame:
+    """The k nearest other points: (key, neighbour, rank, dist), exact.
+
+    Ties in distance go to the lower key.  Three bounds keep the work linear
+    for any spread of points:
+
+    * rows at one location share a neighbour list, and only the k + 1 lowest
+      keys of a location can appear in one;
+    * space is halved ``levels`` times; a location searches at the finest level
+      where its own square holds k + 1 candidates.  Those lie within sqrt(2)
+      sides, so the answer is in the 21 squares around it (5 x 5 less corners);
+    * per square, fewer than 4 (k + 1) candidates of *other* squares search at
+      a level coarser than their own, so a crowded square is read by few.
+    """
+    known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    width = F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"), F.lit(1e-9)) * (1 + 1e-9)
+    box = known.agg(F.struct(F.min("_x").alias("x0"), F.min("_y").alias("y0"), width.alias("w"))).scalar()
+    per_spot = Window.partitionBy("_x", "_y").orderBy("_id")
+    candidates = known.withColumn("_rn", F.row_number().over(per_spot)).where(F.col("_rn") <= k + 1)
+
+    def tiles(df: DataFrame, level) -> DataFrame:
+        df = df.withColumn("_box", box).withColumn("_level", level)
+        side = F.pow(F.lit(2.0), F.col("_level"))
+        return df.select(
+            *[c for c in df.columns if c not in ("_box", "_rn")],
+            F.floor((F.col("_x") - F.col("_box.x0")) / F.col("_box.w") * side).alias("_i"),
+            F.floor((F.col("_y") - F.col("_box.y0")) / F.col("_box.w") * side).alias("_j"),
+        )
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    sites = tiles(candidates, every)
+    busy = sites.groupBy("_level", "_i", "_j").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > k).drop("_n")
+    # a location is represented by its lowest candidate
+    firsts = sites.join(candidates.where("_rn = 1").select("_id"), "_id", "left_semi")
+    spots = candidates.where("_rn = 1").select("_x", "_y")
+    chosen = firsts.join(busy, ["_level", "_i", "_j"]).groupBy("_x", "_y").agg(F.max("_level").alias("_best"))
+    placed = spots.join(chosen, ["_x", "_y"], "left")
+    home = tiles(placed, F.coalesce("_best", F.lit(0))).withColumnsRenamed({"_x": "_qx", "_y": "_qy"})
+    steps = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if abs(a) + abs(b) < 4]
+    around = home.withColumn("_d", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])))
+    asked = around.select("_qx", "_qy", "_level", (F.col("_i") + F.col("_d.a")).alias("_i"), (F.col("_j") + F.col("_d.b")).alias("_j"))
+    dx, dy = F.col("_x") - F.col("_qx"), F.col("_y") - F.col("_qy")
+    pairs = asked.join(sites, ["_level", "_i", "_j"]).select("_qx", "_qy", "_id", (dx * dx + dy * dy).alias("_d2"))
+    nearest = Window.partitionBy("_qx", "_qy").orderBy("_d2", "_id")
+    best = pairs.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= k + 1)
+    lists = best.groupBy("_qx", "_qy").agg(F.sort_array(F.collect_list(F.struct("_d2", "_id"))).alias("_near"))
+    joined = known.join(lists, (F.col("_x") == F.col("_qx")) & (F.col("_y") == F.col("_qy")))
+    mine = F.slice(F.filter("_near", lambda e: e["_id"] != F.col("_id")), 1, k)
+    return joined.select(F.col("_id").alias(key), F.posexplode(mine).alias("_p", "_e")).select(
+        key, F.col("_e._id").alias("neighbour"), (F.col("_p") + 1).alias("rank"), F.sqrt("_e._d2").alias("dist")
+    )
+
+
+def nearest_cell(points: DataFrame, cells: DataFrame, grid: Grid, key: str, rings: int = 2, x: str = "x", y: str = "y") -> DataFrame:
+    """The nearest present cell centre of a regular grid per point: (key, cell_id, dist).
+
+    Each distinct location looks at the squares of cells within ``rings``; those
+    whose nearest find is not certain search twice as far, until none is left.
+    The number of rounds depends on the widest gap in the grid, not on its size.
+    """
+    spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
+    extent = cells.agg(
+        F.min(grid.col_of("cell_id")), F.max(grid.col_of("cell_id")), F.min(grid.row_of("cell_id")), F.max(grid.row_of("cell_id"))
+    ).first()
+    present = cells.select("cell_id", grid.centre_x("cell_id").alias("_cx"), grid.centre_y("cell_id").alias("_cy"))
+    widest = (extent[1] - extent[0] + extent[3] - extent[2] + 1) if extent[0] is not None else 0
+    found, open_spots, reach = None, spots, rings
+    from plotwise.session import durable
+
+    while True:
+        home = open_spots.withColumns({"_i": grid.col_at("_x"), "_j": grid.row_at("_y")})
+        # points off the grid start from its nearest edge cell
+        home = home.withColumns(
+            {"_i": F.least(F.greatest("_i", F.lit(extent[0])), F.lit(extent[1])), "_j": F.least(F.greatest("_j", F.lit(extent[2])), F.lit(extent[3]))}
+        )
+        grown = home.withColumn("_a", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_b", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+        asked = grown.withColumn("cell_id", grid.number(F.col("_i") + F.col("_a"), F.col("_j") + F.col("_b")))
+        dx, dy = F.col("_cx") - F.col("_x"), F.col("_cy") - F.col("_y")
+        near = asked.join(present, "cell_id").withColumn("_d", F.sqrt(dx * dx + dy * dy)).groupBy("_x", "_y").agg(F.min(F.struct("_d", "cell_id")).alias("_e"))
+        # anything unseen is at least this far from a point inside its home cell
+        certain = F.lit((reach + 0.5) * grid.res)
+        off = F.greatest(F.abs(grid.centre_x(grid.number(F.col("_i"), F.col("_j"))) - F.col("_x")), F.abs(grid.centre_y(grid.number(F.col("_i"), F.col("_j"))) - F.col("_y")))
+        slack = home.select("_x", "_y", (certain + F.lit(0.5 * grid.res) - off).alias("_sure")).join(near, ["_x", "_y"], "left")
+        last = reach >= widest
+        sure = F.col("_e").isNotNull() & (F.lit(last) | (F.col("_e._d") < F.col("_sure")))
+        round_ = durable(slack.withColumn("_done", F.coalesce(sure, F.lit(False))))
+        done = round_.where("_done").select("_x", "_y", "_e")
+        found = done if found is None else found.unionByName(done)
+        open_spots = round_.where("not _done").select("_x", "_y")
+        if last or open_spots.isEmpty():
+            break
+        reach *= 2
+    return points.join(found, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))).select(key, F.col("_e.cell_id").alias("cell_id"), F.col("_e._d").alias("dist"))

@@ -5,6 +5,7 @@ from plotwise.catalog import base
 
 def load() -> None:
     from plotwise.catalog import (  # noqa: F401
+        distributions,
         grids,
         statistics,
         survey,

@@ -44,7 +44,7 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded for comparison; -0.0 becomes 0.0."""
     return df.select(
         *[
-            (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
             for f in df.schema
         ]
     )

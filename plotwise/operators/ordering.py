@@ -71,17 +71,16 @@ def cut_points(df: DataFrame, name: str) -> Column:
 
 def with_chunk(df: DataFrame, name: str, out: str = "_chunk") -> DataFrame:
     """Add the number of cut points at or below the value (binary search)."""
-    steps, step = [], chunk_count(df) // 2
+    work = df.withColumns({"_cuts": cut_points(df, name), "_axis": axis(df, name), out: F.lit(0)})
+    # one projection per halving keeps the search inside generated code, where
+    # the array of cuts is a reference and is never copied into rows
+    step = chunk_count(df) // 2
+    at = F.col(out)
     while step:
-        steps.append(F.lit(step))
+        passed = F.get("_cuts", at + (step - 1)) <= F.col("_axis")
+        work = work.withColumn(out, F.when(passed, at + step).otherwise(at))
         step //= 2
-    work = df.withColumn("_cuts", cut_points(df, name)).withColumn("_axis", axis(df, name))
-    found = F.reduce(
-        F.array(*steps),
-        F.lit(0),
-        lambda at, s: F.when(F.get("_cuts", at + s - 1) <= F.col("_axis"), at + s).otherwise(at),
-    )
-    return work.withColumn(out, F.coalesce(found, F.lit(-1))).drop("_cuts", "_axis")
+    return work.withColumn(out, F.when(F.col("_axis").isNull(), -1).otherwise(at)).drop("_cuts", "_axis")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -7,6 +7,7 @@ def load() -> None:
     from plotwise.catalog import (  # noqa: F401
         distributions,
         grids,
+        modelling,
         statistics,
         survey,
         trajectories,

@@ -105,7 +105,7 @@ def _(t):
     return rounded(S.location_means(t.lineitem, ["l_partkey"], ["l_quantity", "l_discount"]))
 
 
-@query("D10_collect_sizes", "SELECT o_custkey, count(*) AS n, list(o_totalprice ORDER BY o_totalprice) AS sizes FROM orders GROUP BY 1")
+@query("D10_collect_sizes", "SELECT o_custkey, 0::BIGINT AS part, count(*) AS n, list(o_totalprice ORDER BY o_totalprice) AS sizes FROM orders GROUP BY 1")
 def _(t):
     return S.collect_sizes(t.orders, ["o_custkey"], "o_totalprice")
 

@@ -1,14 +1,16 @@
 """Order-dependent work on groups of any size.
 
 A plain window sends a whole group to one task.  The operators here cut the
-order axis into a fixed number of pieces of similar row count (see
-``chunk_count``), run the window inside (group, piece), and carry one summary
-row per piece to the next.  The
-cut points only balance the work: they come from a mergeable sketch and any
-choice of them gives the same result.  Cuts are taken over the whole table, so
-a group holding a third of all rows is spread over a third of the pieces.
-
-``order`` is a list of column names; the first one is cut, the others break ties.
+order axis into pieces, run the window inside (group, piece), and carry one
+summary row per piece to the next.  Cut points are rows of the table picked by
+a hash, at a fixed rate: small tables stay in one piece, large ones get pieces
+of about ``CUT_RATE`` rows, at most ``MAX_CUTS`` of them.  They only balance the
+work; any choice gives the same result, and every row is processed.  Cuts are
+taken over the whole table, so a group holding a third of all rows is spread
+over a third of the pieces, and over all order columns, so a date or value
+shared by many rows is split by the columns that break its ties.
+
+``order`` is a list of column names; together they should leave no ties.
 """
 
 from __future__ import annotations
@@ -17,70 +19,41 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+FAN = 8
+MAX_CUTS = FAN**4  # bounds the scalar array of cut points
+CUT_RATE = 65536  # one cut per so many rows; setting plotwise.cut.rate overrides
 SKETCH_GROUPS = 1024
 
 
-def chunk_count(df: DataFrame) -> int:
-    """Pieces to cut into: a power of two, several per shuffle partition.
+def cut_points(df: DataFrame, keys: list[str], order: list[str]) -> Column:
+    """Scalar subquery: ascending cut points, each a struct of the order columns.
 
-    The bounds keep the scalar array of cut points at 32 KB or less.
+    The hashed sample shrinks in two steps, per group of tasks and then once,
+    so no step gathers more than a fixed number of rows.
     """
-    want = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = 64
-    while count < min(want, 4096):
-        count *= 2
-    return count
-
-
-def axis(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the natural order of the column."""
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.substring(F.hex(col), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return col.cast("double")
-
-
-def cut_points(df: DataFrame, name: str) -> Column:
-    """Scalar subquery: ``chunk_count - 1`` ascending cut points of a column."""
-    n = chunk_count(df)
-    shares = ", ".join(f"{i / n!r}D" for i in range(1, n))
-    rows = df.select("*", axis(df, name).alias("v")).where("v is not null")
+    rate = int(df.sparkSession.conf.get("plotwise.cut.rate", str(CUT_RATE)))
+    rows = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(rate)) == 0)
     if "_c" in df.columns:
         # always true, but keeps the count in this branch: the pre-aggregated
         # input then has one plan everywhere and its shuffle is reused
         rows = rows.where("_c > 0")
-    sketch = F.expr(f"percentile_approx(v, array({shares}), {4 * n})").alias("cuts")
-    return (
-        rows.select("v")
-        .withColumn("part", F.spark_partition_id() % SKETCH_GROUPS)
-        .groupBy("part")
-        .agg(sketch)
-        .select(F.explode("cuts").alias("v"))
-        .agg(sketch)
-        .scalar()
-    )
+    rows = rows.select(F.struct(*order).alias("cut"), F.xxhash64(F.lit(rate), *keys, *order).alias("h"))
+    rows = rows.withColumn("part", F.pmod("h", F.lit(SKETCH_GROUPS)))
+    few = Window.partitionBy("part").orderBy("h")
+    kept = rows.withColumn("rn", F.row_number().over(few)).where(F.col("rn") <= MAX_CUTS // SKETCH_GROUPS)
+    return kept.agg(F.sort_array(F.collect_list("cut"))).scalar()
 
 
-def with_chunk(df: DataFrame, name: str, out: str = "_chunk") -> DataFrame:
-    """Add the number of cut points at or below the value (binary search)."""
-    work = df.withColumns({"_cuts": cut_points(df, name), "_axis": axis(df, name), out: F.lit(0)})
-    # one projection per halving keeps the search inside generated code, where
-    # the array of cuts is a reference and is never copied into rows
-    step = chunk_count(df) // 2
-    at = F.col(out)
-    while step:
-        passed = F.get("_cuts", at + (step - 1)) <= F.col("_axis")
-        work = work.withColumn(out, F.when(passed, at + step).otherwise(at))
-        step //= 2
-    return work.withColumn(out, F.when(F.col("_axis").isNull(), -1).otherwise(at)).drop("_cuts", "_axis")
+def with_chunk(df: DataFrame, keys: list[str], order: list[str], out: str = "_chunk") -> DataFrame:
+    """Add the number of cut points at or below the row (8-way search)."""
+    work = df.withColumns({"_cuts": cut_points(df, keys, order), "_place": F.struct(*order), out: F.lit(0)})
+    # four 8-way steps: plain comparisons stay inside generated code, where the
+    # array of cuts is a reference and is never copied into rows
+    for width in (FAN**3, FAN**2, FAN, 1):
+        tests = " ".join(f"WHEN get(_cuts, {out} + {i * width - 1}) <= _place THEN {out} + {i * width}" for i in range(FAN - 1, 0, -1))
+        work = work.withColumn(out, F.expr(f"CASE {tests} ELSE {out} END"))
+    return work.drop("_cuts", "_place")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -94,6 +67,23 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
+def _keyed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Chunked rows under one group column ``_g``.
+
+    A struct of the keys compares NULL fields as equal, so join and window
+    below share one plain hash partitioning on (_g, _chunk).
+    """
+    group = F.struct(*keys) if keys else F.lit(0)
+    extra = [k for k in keys if k not in order]
+    return with_chunk(df, keys, order).withColumn("_g", group).drop(*extra)
+
+
+def _unkeyed(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    new = [c for c in df.columns if c not in columns and c != "_g"]
+    own = [F.col(f"_g.{c}").alias(c) if c in keys and c not in df.columns else F.col(c) for c in columns]
+    return df.select(*own, *new)
+
+
 def _sorted(order: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in order]
 
@@ -111,12 +101,12 @@ def prefix_sums(
     ``<m>_all``) so that only chunks a later step needs are sorted.
     NULL measures count as zero.
     """
-    pieces = with_chunk(df, order[0])
-    totals = pieces.groupBy(*keys, "_chunk").agg(
+    pieces = _keyed(df, keys, order)
+    totals = pieces.groupBy("_g", "_chunk").agg(
         *[F.coalesce(F.sum(m), F.lit(0)).alias(f"{m}_sum") for m in measures]
     )
-    ahead = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    ahead = Window.partitionBy("_g").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_g")
     for m in measures:
         totals = totals.withColumn(
             f"{m}_off", F.coalesce(F.sum(f"{m}_sum").over(ahead), F.lit(0))
@@ -125,16 +115,17 @@ def prefix_sums(
         totals = totals.where(keep)
     totals = totals.drop(*[f"{m}_sum" for m in measures])
     inside = (
-        Window.partitionBy(*keys, "_chunk")
+        Window.partitionBy("_g", "_chunk")
         .orderBy(*_sorted(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = join_null_safe(pieces, totals, [*keys, "_chunk"])
+    out = pieces.join(totals, ["_g", "_chunk"])
     for m in measures:
         out = out.withColumn(
             f"{m}_run", F.col(f"{m}_off") + F.coalesce(F.sum(m).over(inside), F.lit(0))
         )
-    return out.drop("_chunk", *[f"{m}_off" for m in measures])
+    out = out.drop("_chunk", *[f"{m}_off" for m in measures])
+    return _unkeyed(out, keys, df.columns)
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "rn") -> DataFrame:
@@ -149,30 +140,29 @@ def carry(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str]
     ``previous=True`` gives lag(col, 1); ``previous=False`` gives the last
     non-null value up to the current row.  ``cols`` maps source to new column.
     """
-    pieces = with_chunk(df, order[0])
+    pieces = _keyed(df, keys, order)
     place = F.struct(*order)
     ends = []
     for c in cols:
-        value = F.struct(F.col(c).alias("v"))
-        seen = value if previous else F.when(F.col(c).isNotNull(), value)
-        at = place if previous else F.when(F.col(c).isNotNull(), place)
-        ends.append(F.max_by(seen, at).alias(f"_end_{c}"))
-    totals = pieces.groupBy(*keys, "_chunk").agg(*ends)
-    ahead = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        seen = F.struct(F.col(c).alias("v"))
+        known = F.lit(True) if previous else F.col(c).isNotNull()
+        ends.append(F.max_by(F.when(known, seen), F.when(known, place)).alias(f"_end_{c}"))
+    totals = pieces.groupBy("_g", "_chunk").agg(*ends)
+    ahead = Window.partitionBy("_g").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     for c in cols:
         totals = totals.withColumn(f"_in_{c}", F.last(f"_end_{c}", ignorenulls=True).over(ahead))
     totals = totals.drop(*[f"_end_{c}" for c in cols])
-    out = join_null_safe(pieces, totals, [*keys, "_chunk"])
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*_sorted(order))
+    out = pieces.join(totals, ["_g", "_chunk"])
+    inside = Window.partitionBy("_g", "_chunk").orderBy(*_sorted(order))
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for c, new in cols.items():
+    for c in cols:
         if previous:
             first = F.row_number().over(inside) == 1
             value = F.when(first, F.col(f"_in_{c}.v")).otherwise(F.lag(c).over(inside))
         else:
             value = F.coalesce(F.last(c, ignorenulls=True).over(running), F.col(f"_in_{c}.v"))
         out = out.withColumn(f"_out_{c}", value)
-    out = out.drop("_chunk", *[f"_in_{c}" for c in cols])
+    out = _unkeyed(out.drop("_chunk", *[f"_in_{c}" for c in cols]), keys, df.columns)
     return out.drop(*[n for n in cols.values() if n in df.columns]).withColumnsRenamed(
         {f"_out_{c}": n for c, n in cols.items()}
     )

@@ -58,12 +58,18 @@ def location_means(df: DataFrame, keys: list[str], cols: list[str], min_n: int =
     return agg.where(F.col("n") > min_n)
 
 
-def collect_sizes(df: DataFrame, key: list[str], col: str, out: str = "sizes") -> DataFrame:
-    """Sorted list of values per cell (a survey cell holds tens of farms).
+def collect_sizes(df: DataFrame, keys: list[str], col: str, part_size: int = 100_000) -> DataFrame:
+    """Sorted lists of values per cell: (keys, part, n, sizes).
 
-    Lists are for small cells; on unbounded groups stay with rows or quantiles.
+    A list holds at most ``part_size`` values; a larger cell continues in
+    parts 1, 2, ..., so no row or task grows with a cell.
     """
-    return df.groupBy(*key).agg(F.count(col).alias("n"), F.sort_array(F.collect_list(col)).alias(out))
+    run = O.prefix_sums(O.value_counts(df, keys, col), keys, [col], ["_c"])
+    start, end = F.col("_c_run") - F.col("_c"), F.col("_c_run") - 1
+    split = run.withColumn("part", F.explode(F.sequence(F.floor(start / part_size), F.floor(end / part_size))))
+    copies = F.least(end, (F.col("part") + 1) * part_size - 1) - F.greatest(start, F.col("part") * part_size) + 1
+    lists = split.groupBy(*keys, "part").agg(F.sum(copies).alias("n"), F.sort_array(F.collect_list(F.struct(F.col(col).alias("v"), copies.cast("int").alias("k")))).alias("_l"))
+    return lists.select(*keys, "part", "n", F.flatten(F.transform("_l", lambda e: F.array_repeat(e["v"], e["k"]))).alias("sizes"))
 
 
 def column_totals(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -88,7 +88,7 @@ def main():
         print(f"{'ok  ' if note is None else 'FAIL'} {time.time() - t:6.2f}s {name}" + (f"\n     {note}" if note else ""), flush=True)
         if note:
             failed.append(name)
-    print(f"failed: {len(failed)} {failed}")
+    print(f"failed: {len(failed)} {failed}", flush=True)
     spark.stop()
 
 

@@ -14,9 +14,9 @@ OBS = """obs AS (SELECT user_id, event_id, CAST(ts AS DATE) AS date, DATE '2024-
   FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-20' + CAST(user_id % 10 AS INTEGER))"""
 NDVI = OBS + ", s AS (SELECT * FROM obs WHERE opt)"
 VH = OBS + ", s AS (SELECT * FROM obs WHERE sar)"
-STATS = """SELECT user_id, round(max(v), 6) AS {c}_peak, round(avg(v), 6) AS {c}_mean, round(stddev_pop(v), 6) AS {c}_std, round(arg_max(v, (date, event_id)), 6) AS {c}_last,
+STATS = """SELECT user_id, round(max(v), 10) AS {c}_peak, round(avg(v), 10) AS {c}_mean, round(stddev_pop(v), 10) AS {c}_std, round(arg_max(v, (date, event_id)), 10) AS {c}_last,
   CAST(any_value(end_date) - max(date) AS DOUBLE) AS {c}_dtharv, CAST(arg_max(doy, (v, -doy)) AS DOUBLE) AS {c}_doy_peak FROM s GROUP BY 1"""
-INTEGRAL = """SELECT user_id, round(CASE WHEN count(*) = 1 THEN max(v) ELSE coalesce(sum((doy - pd) * (v + pv) / 2), 0) END, 6) AS {c}_integral FROM (
+INTEGRAL = """SELECT user_id, round(CASE WHEN count(*) = 1 THEN max(v) ELSE coalesce(sum((doy - pd) * (v + pv) / 2), 0) END, 10) AS {c}_integral FROM (
   SELECT user_id, doy, v, lag(doy) OVER w AS pd, lag(v) OVER w AS pv FROM s WINDOW w AS (PARTITION BY user_id ORDER BY date, event_id)) GROUP BY 1"""
 SLOPE = """SELECT user_id, round(CASE WHEN count(*) = 2 THEN (max(v) FILTER (rn = 1) - max(v) FILTER (rn = 2)) / (max(doy) FILTER (rn = 1) - max(doy) FILTER (rn = 2) + 1e-9) END, {d}) AS {n}
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, event_id DESC) AS rn FROM s {where}) WHERE rn <= 2 GROUP BY 1"""
@@ -45,12 +45,12 @@ def vh(t):
 
 @query("E8_trajectory_stats", f"WITH {NDVI} " + STATS.format(c="NDVI"))
 def _(t):
-    return rounded(T.trajectory_stats(ndvi(t), S, ["NDVI"]), 6)
+    return rounded(T.trajectory_stats(ndvi(t), S, ["NDVI"]), 10)
 
 
 @query("E9_trapezoid", f"WITH {NDVI} " + INTEGRAL.format(c="NDVI"))
 def _(t):
-    return rounded(T.trapezoid(ndvi(t), S, ["NDVI"]), 6)
+    return rounded(T.trapezoid(ndvi(t), S, ["NDVI"]), 10)
 
 
 @query("E10_last_two_slope", f"WITH {NDVI} " + SLOPE.format(n="NDVI_slope", where="", d=3))
@@ -60,7 +60,7 @@ def _(t):
 
 def _window_sql():
     parts = [
-        f"round(avg(v) FILTER (date BETWEEN '{a}' AND '{b}'), 6) AS NDVI_{w}_mean, round(max(v) FILTER (date BETWEEN '{a}' AND '{b}'), 6) AS NDVI_{w}_max"
+        f"round(avg(v) FILTER (date BETWEEN '{a}' AND '{b}'), 10) AS NDVI_{w}_mean, round(max(v) FILTER (date BETWEEN '{a}' AND '{b}'), 10) AS NDVI_{w}_max"
         for w, (a, b) in WINDOWS.items()
     ]
     joins = " ".join(
@@ -72,16 +72,16 @@ def _window_sql():
 @query("E11_window_stats", _window_sql())
 def _(t):
     df = T.window_stats(ndvi(t), S, ["NDVI"], WINDOWS)
-    return rounded(df.withColumns({f"NDVI_{w}_slope": F.round(f"NDVI_{w}_slope", 3) for w in WINDOWS}), 6)
+    return rounded(df.withColumns({f"NDVI_{w}_slope": F.round(f"NDVI_{w}_slope", 3) for w in WINDOWS}), 10)
 
 
 @query(
     "E12_phenology",
     f"""WITH {NDVI} SELECT user_id, green_up_doy, senescence_doy, ndvi_at_senes, senescence_doy - green_up_doy AS season_length FROM (SELECT user_id, CAST(arg_min(doy, (date, event_id)) FILTER (v >= 0.35) AS DOUBLE) AS green_up_doy,
-  CAST(arg_max(doy, (date, event_id)) FILTER (v >= 0.5) AS DOUBLE) AS senescence_doy, round(arg_max(v, (date, event_id)) FILTER (v >= 0.5), 6) AS ndvi_at_senes FROM s GROUP BY 1)""",
+  CAST(arg_max(doy, (date, event_id)) FILTER (v >= 0.5) AS DOUBLE) AS senescence_doy, round(arg_max(v, (date, event_id)) FILTER (v >= 0.5), 10) AS ndvi_at_senes FROM s GROUP BY 1)""",
 )
 def _(t):
-    return rounded(T.phenology(ndvi(t), S, "NDVI"), 6)
+    return rounded(T.phenology(ndvi(t), S, "NDVI"), 10)
 
 
 ENTROPY = """SELECT user_id, round(-sum(p * log2(p + 1e-9)), 5) AS VH_entropy FROM (SELECT user_id, count(*) / any_value(n)::DOUBLE AS p FROM (
@@ -126,14 +126,14 @@ def _(t):
     df = features(t)
     keep = [c for c in df.columns if not c.endswith("_slope") and not any(f"_{w}_" in c for w in WINDOWS) and c not in ("green_up_doy", "senescence_doy", "ndvi_at_senes", "season_length")]
     out = df.select(*keep).withColumns({c: F.round(c, 5) for c in ("VH_entropy", "VH_autocorr_l1")})
-    return rounded(out, 6)
+    return rounded(out, 10)
 
 
 @query(
     "B29_add_cross_features",
     f"""WITH {OBS}, p AS (SELECT user_id, max(v) FILTER (opt) AS o, max(v) FILTER (sar) AS r, arg_max(v, (date, event_id)) FILTER (opt) AS lo, arg_max(v, (date, event_id)) FILTER (sar) AS lr FROM obs GROUP BY 1)
-SELECT user_id, round(o * o, 6) AS NDVI_peak_sq, round(lr * lo, 6) AS VH_NDVI_last FROM p""",
+SELECT user_id, round(o * o, 10) AS NDVI_peak_sq, round(lr * lo, 10) AS VH_NDVI_last FROM p""",
 )
 def _(t):
     df = I.add_cross_features(features(t))
-    return rounded(df.select("user_id", "NDVI_peak_sq", "VH_NDVI_last"), 6)
+    return rounded(df.select("user_id", "NDVI_peak_sq", "VH_NDVI_last"), 10)

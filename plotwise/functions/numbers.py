@@ -26,6 +26,17 @@ def safe_ratio(a: ColumnLike, b: ColumnLike) -> Column:
     return finite(F.try_divide(as_col(a).cast("double"), as_col(b).cast("double")))
 
 
+def corr(a: ColumnLike, b: ColumnLike) -> Column:
+    """Pearson correlation over complete pairs; NULL without variation.
+
+    The built-in one divides by zero on a constant column in ANSI mode.
+    """
+    a, b = as_col(a).cast("double"), as_col(b).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, a))) * F.sqrt(F.var_pop(F.when(both, b)))
+    return safe_ratio(F.covar_pop(a, b), spread)
+
+
 def clip(c: ColumnLike, lo: float, hi: float) -> Column:
     c = as_col(c)
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))

@@ -117,7 +117,8 @@ def sample_population(df: DataFrame, cell: list[str], n: str, quantiles: str, se
     units = _units(df, n, [*cell, quantiles])
     m = F.size(quantiles)
     u = N.uniform_hash(*cell, "_u", seed=seed)
-    at = (u - 1 / m) / (1 - 1 / m) * (m - 1)
+    # 0-based position of probability u between 1/m and 1; one quantile is flat
+    at = u * m - 1
     return units.select(*cell, (F.col("_u") + 1).alias("unit"), interpolate(F.col(quantiles), at).alias(out))
 
 
@@ -126,10 +127,10 @@ def sample_trunc_lognormal(df: DataFrame, cell: list[str], n: str, quantiles: st
     logs = F.transform(quantiles, lambda v: F.ln(F.greatest(v, F.lit(floor))))
     fitted = df.withColumn("_logs", logs).withColumn("_mu", F.aggregate("_logs", F.lit(0.0), lambda s, v: s + v) / F.size("_logs"))
     spread = F.aggregate("_logs", F.lit(0.0), lambda s, v: s + (v - F.col("_mu")) * (v - F.col("_mu")))
-    fitted = fitted.withColumn("_sd", F.sqrt(spread / (F.size("_logs") - 1))).withColumns(
+    fitted = fitted.withColumn("_sd", F.coalesce(F.sqrt(N.safe_ratio(spread, F.size("_logs") - 1)), F.lit(0.0))).withColumns(
         {"_lo": F.array_min("_logs"), "_hi": F.array_max("_logs")}
     )
-    fitted = fitted.withColumns({"_pa": D.normal_cdf((F.col("_lo") - F.col("_mu")) / F.col("_sd")), "_pb": D.normal_cdf((F.col("_hi") - F.col("_mu")) / F.col("_sd"))})
+    fitted = fitted.withColumns({"_pa": D.normal_cdf(N.safe_ratio(F.col("_lo") - F.col("_mu"), "_sd")), "_pb": D.normal_cdf(N.safe_ratio(F.col("_hi") - F.col("_mu"), "_sd"))})
     units = _units(fitted, n, [*cell, "_mu", "_sd", "_lo", "_hi", "_pa", "_pb"])
     p = F.col("_pa") + N.uniform_hash(*cell, "_u", seed=seed) * (F.col("_pb") - F.col("_pa"))
     draw = F.when(F.col("_sd") > 0, F.col("_mu") + F.col("_sd") * D.normal_quantile(p)).otherwise(F.col("_mu"))
@@ -164,7 +165,7 @@ def compare_counts(estimated: DataFrame, census: DataFrame, key: str, est: str,
     """Totals and squared correlation of counts, with and without some units."""
     both = estimated.join(census, key).where(F.col(est).isNotNull() & F.col(obs).isNotNull())
     kept = ~N.is_in(key, exclude)
-    r, rx = F.corr(est, obs), F.corr(F.when(kept, F.col(est)), F.when(kept, F.col(obs)))
+    r, rx = N.corr(est, obs), N.corr(F.when(kept, F.col(est)), F.when(kept, F.col(obs)))
     return both.agg(
         F.count(F.lit(1)).alias("n_units"), F.sum(est).alias("total_est"), F.sum(obs).alias("total_obs"),
         (r * r).alias("r2_corr"), (rx * rx).alias("r2_without"),

@@ -176,7 +176,7 @@ def zonal_total(cells: DataFrame, zone: str, value: str, reference: DataFrame, c
     """Zone totals beside reference counts, with their correlation in one table."""
     sums = cells.groupBy(zone).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("total"))
     both = sums.join(reference.select(zone, count), zone)
-    r = both.agg(F.corr("total", count)).scalar()
+    r = both.agg(N.corr("total", count)).scalar()
     return both.withColumn("r2_corr", r * r)
 
 
@@ -212,12 +212,12 @@ def morans_i(points: DataFrame, col: str, k: int = 4, key: str = "point_id") ->
     base = base.withColumns({"_cross": cross, "_mutual": mutual, "_s2in": s2_in})
     n = F.col("n")
     s0, s1, s2 = n, n / k + F.col("_mutual") / (k * k), n + F.col("_s2in")
-    kurt = n * F.col("_m4") / (F.col("_m2") * F.col("_m2"))
-    expected = -1 / (n - 1)
+    kurt = N.safe_ratio(n * F.col("_m4"), F.col("_m2") * F.col("_m2"))
+    expected = N.safe_ratio(F.lit(-1), n - 1)
     num = n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 * s0) - kurt * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0 * s0)
-    var = num / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - expected * expected
-    i = F.col("_cross") / F.col("_m2")
-    return base.select(n.cast("long").alias("n"), i.alias("moran_i"), expected.alias("expected"), var.alias("variance"), ((i - expected) / F.sqrt(var)).alias("z"))
+    var = N.safe_ratio(num, (n - 1) * (n - 2) * (n - 3) * s0 * s0) - expected * expected
+    i = N.safe_ratio("_cross", "_m2")
+    return base.select(n.cast("long").alias("n"), i.alias("moran_i"), expected.alias("expected"), var.alias("variance"), N.safe_ratio(i - expected, F.sqrt(F.when(var > 0, var))).alias("z"))
 
 
 def grid_agreement(points: DataFrame, cells: DataFrame, grid: Grid, obs: str, pred: str) -> DataFrame:

@@ -96,16 +96,16 @@ def similar_values(left: DataFrame, right: DataFrame, key: str, max_dist: float)
     nothing within the distance is lost.
     """
     strict = 3 * (1 - max_dist) - 1
-    shortest = strict - 1  # from need <= min(|a|, |b|)
+    shortest = max(strict - 1, 0.0)  # b_min / |a|, from need <= min(|a|, |b|)
     names = lambda df: df.select(F.lower(F.col(key)).alias("s")).where("s is not null").distinct()
     both = names(left).withColumn("side", F.lit("l")).unionByName(names(right).withColumn("side", F.lit("r")))
-    sized = both.withColumn("n", F.length("s"))
+    sized = both.withColumn("n", F.length("s")).where("n > 0")
     items = sized.select("s", "side", "n", F.explode(_letters(F.col("s"))).alias("item"))
     rarity = items.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
     ranked = items.join(rarity, "item").groupBy("s", "side", "n").agg(
         F.sort_array(F.collect_list(F.struct("freq", "item"))).alias("items")
     )
-    least = F.ceil(F.lit(strict) * F.col("n") * (F.col("n") * shortest) / (F.col("n") + F.col("n") * shortest) - 1e-9)
+    least = F.ceil(F.col("n") * (strict * shortest / (1 + shortest)) - 1e-9)
     prefix = F.slice("items", F.lit(1), F.greatest(F.col("n") - least + 1, F.lit(1)).cast("int"))
     keyed = ranked.select("s", "side", "n", F.explode(prefix.getField("item")).alias("item"))
     l = keyed.where("side = 'l'").select(F.col("s").alias("_l"), F.col("n").alias("nl"), "item")

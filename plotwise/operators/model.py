@@ -404,7 +404,7 @@ def loo_r2(df: DataFrame, cols: list[str], y: str) -> DataFrame:
     for i in range(k):
         for j in range(k):
             leverage = leverage + F.col(cols[i]) * F.col(cols[j]) * float(inverse[i, j])
-    left_out = (F.col(y) - fitted) / (1 - leverage)
+    left_out = N.safe_ratio(F.col(y) - fitted, 1 - leverage)
     return centred.agg(
         F.count(F.lit(1)).alias("n"), (1 - N.safe_ratio(F.sum(left_out * left_out), F.sum(F.col(y) * F.col(y)))).alias("loo_r2")
     )

@@ -230,7 +230,7 @@ def _pair(a: str, b: str) -> Column:
 
 
 def pearson(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    out = df.where(_pair(a, b)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("r"))
+    out = df.where(_pair(a, b)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), N.corr(a, b).alias("r"))
     return out.withColumn("r2_corr", F.col("r") * F.col("r"))
 
 
@@ -238,7 +238,7 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """r of every column pair on complete cases, from one aggregation."""
     pairs = list(combinations(cols, 2))
     row = C.complete_cases(df.select(*cols), cols).agg(
-        F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+        F.count(F.lit(1)).alias("n"), *[N.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
     )
     cells = [F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col("n"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.inline(F.array(*cells)))
@@ -311,7 +311,7 @@ def regression_metrics(df: DataFrame, keys: list[str], obs: str, pred: str) -> D
         F.avg(o).alias("_mean"),
         F.sum(err * err).alias("_sse"),
         (F.var_pop(o) * F.count(F.lit(1))).alias("_sst"),
-        F.corr(o, p).alias("_r"),
+        N.corr(o, p).alias("_r"),
     )
     return agg.select(
         *keys, "n", "mae", "rmse", "bias",
@@ -358,7 +358,7 @@ def measurement_quality(df: DataFrame, keys: list[str], measured: str, reported:
         F.count(measured).alias("n_measured"),
         (100 * F.avg(F.col(measured).isNotNull().cast("double"))).alias("pct_measured"),
         F.count_if(both).alias("n_both"),
-        F.corr(F.when(both, F.col(measured)), F.when(both, F.col(reported))).alias("r"),
+        N.corr(F.when(both, F.col(measured)), F.when(both, F.col(reported))).alias("r"),
         F.avg("_ratio").alias("ratio_mean"),
         F.stddev_samp("_ratio").alias("ratio_sd"),
         (100 * F.avg(F.when(both, (F.col("_ratio") > 1).cast("double")))).alias("pct_over"),
@@ -383,7 +383,7 @@ def levelled_fit(df: DataFrame, levels: list[str], obs: str, pred: str) -> DataF
     name = F.lit(None).cast("string")
     for i, level in enumerate(levels):
         name = F.when(F.col("_id") == (1 << (depth - 1 - i)) - 1, F.lit(level)).otherwise(name)
-    fit = means.withColumn("level", name).groupBy("level").agg(F.count(F.lit(1)).alias("n_units"), F.corr("_o", "_p").alias("_r"))
+    fit = means.withColumn("level", name).groupBy("level").agg(F.count(F.lit(1)).alias("n_units"), N.corr("_o", "_p").alias("_r"))
     return fit.select("level", "n_units", (F.col("_r") * F.col("_r")).alias("r2_corr"))
 
 

@@ -167,7 +167,7 @@ def autocorr_lag1(df: DataFrame, s: Series, col: str, out: str | None = None) ->
     out = out or f"{col}_autocorr_l1"
     valid = df.where(F.col(col).isNotNull()).select(s.key, s.date, s.tie, col)
     prev = O.carry(valid, [s.key], [s.date, s.tie], {col: "_prev"}, previous=True)
-    return prev.groupBy(s.key).agg(F.count(F.lit(1)).alias("_n"), F.corr("_prev", col).alias(out)).where("_n >= 3").drop("_n")
+    return prev.groupBy(s.key).agg(F.count(F.lit(1)).alias("_n"), N.corr("_prev", col).alias(out)).where("_n >= 3").drop("_n")
 
 
 def coverage_columns(s: Series, optical: Column, radar: Column) -> list[Column]:

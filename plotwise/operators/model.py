@@ -326,7 +326,7 @@ def quantile_forest(model: PipelineModel, train: DataFrame, score: DataFrame, y:
             return pd.Series([], dtype=object)
         at = np.vstack(leaves.to_numpy()).astype(int)
         values = shared.value[np.arange(at.shape[1])[None, :], at]
-        return pd.Series(list(np.nanquantile(values, probs, axis=1).T))
+        return pd.Series(list(np.quantile(values, probs, axis=1).T))
 
     return scored.select(*score.columns, quantiles("_leaves").alias(out))
 

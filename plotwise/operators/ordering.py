@@ -20,40 +20,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN = 8
-MAX_CUTS = FAN**4  # bounds the scalar array of cut points
+MAX_CUTS = 4096  # a power of two; bounds the list of cut points
 CUT_RATE = 65536  # one cut per so many rows; setting plotwise.cut.rate overrides
 SKETCH_GROUPS = 1024
 
 
-def cut_points(df: DataFrame, keys: list[str], order: list[str]) -> Column:
-    """Scalar subquery: ascending cut points, each a struct of the order columns.
+def cut_points(df: DataFrame, keys: list[str], order: list[str]) -> str | None:
+    """Ascending cut points as JSON text of order structs; None for no cuts.
 
-    The hashed sample shrinks in two steps, per group of tasks and then once,
-    so no step gathers more than a fixed number of rows.
+    A small job of its own: it reads the key and order columns once.  The
+    hashed sample shrinks in two steps, per hash group and then once, so no
+    step and no result grows beyond a fixed number of rows.
     """
     rate = int(df.sparkSession.conf.get("plotwise.cut.rate", str(CUT_RATE)))
     rows = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(rate)) == 0)
-    if "_c" in df.columns:
-        # always true, but keeps the count in this branch: the pre-aggregated
-        # input then has one plan everywhere and its shuffle is reused
-        rows = rows.where("_c > 0")
     rows = rows.select(F.struct(*order).alias("cut"), F.xxhash64(F.lit(rate), *keys, *order).alias("h"))
     rows = rows.withColumn("part", F.pmod("h", F.lit(SKETCH_GROUPS)))
     few = Window.partitionBy("part").orderBy("h")
     kept = rows.withColumn("rn", F.row_number().over(few)).where(F.col("rn") <= MAX_CUTS // SKETCH_GROUPS)
-    return kept.agg(F.sort_array(F.collect_list("cut"))).scalar()
+    row = kept.agg(F.count(F.lit(1)).alias("n"), F.to_json(F.sort_array(F.collect_list("cut"))).alias("cuts")).first()
+    return row["cuts"] if row["n"] else None
 
 
 def with_chunk(df: DataFrame, keys: list[str], order: list[str], out: str = "_chunk") -> DataFrame:
-    """Add the number of cut points at or below the row (8-way search)."""
-    work = df.withColumns({"_cuts": cut_points(df, keys, order), "_place": F.struct(*order), out: F.lit(0)})
-    # four 8-way steps: plain comparisons stay inside generated code, where the
-    # array of cuts is a reference and is never copied into rows
-    for width in (FAN**3, FAN**2, FAN, 1):
-        tests = " ".join(f"WHEN get(_cuts, {out} + {i * width - 1}) <= _place THEN {out} + {i * width}" for i in range(FAN - 1, 0, -1))
-        work = work.withColumn(out, F.expr(f"CASE {tests} ELSE {out} END"))
-    return work.drop("_cuts", "_place")
+    """Add the number of cut points at or below the row (binary search)."""
+    text = cut_points(df, keys, order)
+    if text is None:
+        return df.withColumn(out, F.lit(0))
+    place = F.struct(*order)
+    # folds to one literal array, which is shared and never a column of rows
+    cuts = F.from_json(F.lit(text), df.select(F.array(place).alias("c")).schema["c"].dataType)
+    steps, step = [], MAX_CUTS // 2
+    while step:
+        steps.append(F.lit(step))
+        step //= 2
+    found = F.aggregate(
+        F.array(*steps), F.lit(0), lambda at, s: F.when(F.get(cuts, at + s - 1) <= place, at + s).otherwise(at)
+    )
+    return df.withColumn(out, found)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -30,6 +30,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where Spark moves the expression elsewhere."""
+    return F.transform(F.array(value), body)[0]
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plotwise.llm.common import WORD, null_safe_key, text_of, uniform, unused, words_of
+from plotwise.llm.common import WORD, null_safe_key, stored, text_of, uniform, unused, words_of
 
 SYMBOLS = "#*$%&|<>!"
 #: Quality weights lie between these two; the rate spreads keys evenly over pieces.
@@ -47,44 +45,46 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
     table = table.withColumn("_order", F.row_number().over(cut))
     first = F.min(F.when(~F.col("_full"), F.struct("_order", (F.col("_left") / F.col("_open")).alias("at")))).over(everything)["at"]
     target = F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(F.coalesce(first, F.lit(0.0)) * F.col("_weight"))
-    return table.select("_source", "source_size", target.alias("target"))
+    return table.select(*sizes.columns, target.alias("target"))
 
 
-def mixture(docs: DataFrame, seed: int = 23, piece_rows: int = 10_000, quality: Column | None = None) -> DataFrame:
-    """The columns of `docs` and size, source_size, target and taken of each row.
+def mixture(docs: DataFrame, keep: list[str] | None = None, seed: int = 23, piece_rows: int = 10_000, quality: Column | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all by default) and size, source_size, target and taken of each row.
 
     Each source gives whole epochs while its target allows; the rest of the
     target is filled by its documents in the order of -ln(u) / quality, smallest
     first, and the document that crosses the budget is cut there. `taken` counts
     words, repeats included; it is at most 3 times the size and sums to the
-    rounded target of each source.
+    rounded target of each source. Keys are cut into pieces, a number of them in
+    proportion to the rows of the source, and sums of earlier pieces are added,
+    so no source is ever sorted in one task.
 
     A NULL source is a source of its own, last in order; NULL and empty texts
     have size 0 and are never taken. Equal keys fall to doc_id, then size; rows
     equal in both are interchangeable. An empty table gives an empty result.
-    `docs` must not hold columns named size, source_size, target or taken; where
-    it does, the new ones replace them.
+    Columns named size, source_size, target or taken are replaced.
     """
     text = text_of()
     docs = docs.drop("size", "source_size", "target", "taken")
-    key, piece, src, inside, before = (unused(docs, n) for n in ("_key", "_piece", "_source", "_inside", "_before"))
+    keep = docs.columns if keep is None else keep
+    key, piece, src, inside, before, number = (unused(docs, n) for n in ("_key", "_piece", "_source", "_inside", "_before", "_rows"))
     rows = docs.withColumns({src: null_safe_key("source"), "size": F.regexp_count(text, F.lit(WORD)).cast("long")})
     weight = document_quality(text, F.col("size")) if quality is None else quality
-    rows = rows.withColumn(key, -F.log(uniform(seed, F.col("doc_id"))) / weight)
-    sizes = rows.groupBy(F.col(src).alias("_source")).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes).withColumnRenamed("_source", src)
-    pieces = max(1, ceil(docs.count() / piece_rows))
-    rows = rows.withColumn(piece, F.floor((1 - F.exp(-RATE * F.col(key))) * pieces))
+    own = dict.fromkeys(["doc_id", *keep])
+    rows = stored(rows.withColumn(key, -F.log(uniform(seed, F.col("doc_id"))) / weight).select(*own, src, "size", key))
+    sizes = rows.groupBy(F.col(src).alias("_source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    targets = source_targets(sizes).withColumnsRenamed({"_source": src, "_rows": number})
+    share = 1 - F.exp(-RATE * F.col(key))
+    rows = rows.join(targets, src).withColumn(piece, F.floor(share * F.ceil(F.col(number) / piece_rows)))
     sums = rows.groupBy(src, piece).agg(F.sum("size").alias("_n"))
     earlier = Window.partitionBy(src).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(src, piece, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before)).join(targets, src)
+    sums = sums.select(src, piece, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before))
     inner = Window.partitionBy(src, piece).orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(inside, F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums, [src, piece])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.round(F.col("target")).cast("long") - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col(before) - F.col(inside)))
-    taken = (epochs * F.col("size") + part).cast("long")
-    return rows.withColumn("taken", taken).drop(key, piece, src, inside, before)
+    return rows.withColumn("taken", (epochs * F.col("size") + part).cast("long")).select(*keep, "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

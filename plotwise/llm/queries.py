@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.llm import exact_dedup, mixing, pii, secrets, sharding
+from plotwise.llm import exact_dedup, mixing, packing, pii, quality, secrets, sharding, warc
 from plotwise.llm.common import documents
 
 QUERIES: dict = {}
@@ -26,11 +26,22 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
 
 
+@query("op4_warc_normalise")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_secret_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(documents(spark, sf_dir))
 
 
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 @query(
     "op7_exact_dedup",
     """
@@ -84,7 +95,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixture(documents(spark, sf_dir), keep=["doc_id"])
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @query("op10_sharding")

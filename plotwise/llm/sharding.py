@@ -48,13 +48,13 @@ def interleaved_shards(docs: DataFrame, shards: int = 24, seed: int = 17, piece_
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         uniform(seed, F.col("doc_id")).alias("_u"),
-    ).withColumn("_piece", F.floor(F.col("_u") * pieces))
-    rows = ranked(rows, ["_piece"], ["_u", "doc_id", "size", "text_crc32"], ["_source"], "_rank")
+    )
     per_source = docs.groupBy(null_safe_key("source").alias("_source")).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = rows.join(per_source, "_source").withColumn("_piece", F.floor(F.col("_u") * F.ceil(F.col("_rows") / piece_rows)))
+    rows = ranked(rows, ["_piece"], ["_u", "doc_id", "size", "text_crc32"], ["_source"], "_rank")
     share = (F.col("_rank") + 0.5) / F.col("_rows")
     rows = (
         rows.drop("_piece")
-        .join(per_source, "_source")
         .withColumn("_share", share)
         .withColumn("_piece", F.least(F.floor(F.col("_share") * pieces), F.lit(pieces - 1)))
         .withColumn("_all", F.lit(0))

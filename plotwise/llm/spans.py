@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plotwise.llm.common import let
+
 EMPTY = "cast(array() as array<struct<start:int,end:int,match:string,before:string,after:string>>)"
 
 
@@ -18,19 +20,21 @@ def with_spans(df, text: str, name: str, pattern: str, needs: Column | None = No
     """
     none = F.expr("cast(array() as array<string>)")
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    df = df.withColumn("_found", found if needs is None else F.when(needs, found).otherwise(none))
-    df = df.withColumn("_pieces", F.when(F.size("_found") > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
-    spans = F.expr(f"""
-        case when size(_found) = 0 then {EMPTY} else
-        aggregate(sequence(0, size(_found) - 1), named_struct('at', 0, 'out', {EMPTY}), (a, i) ->
-          named_struct(
-            'at', a.at + char_length(_pieces[i]) + char_length(_found[i]),
-            'out', concat(a.out, array(named_struct(
-              'start', a.at + char_length(_pieces[i]),
-              'end', a.at + char_length(_pieces[i]) + char_length(_found[i]),
-              'match', _found[i], 'before', right(_pieces[i], 40), 'after', left(_pieces[i + 1], 40))))),
-          a -> a.out) end""")
-    return df.withColumn(name, spans).drop("_found", "_pieces")
+    found = found if needs is None else F.when(needs, found).otherwise(none)
+
+    def placed(m: Column, pieces: Column) -> Column:
+        def step(done: Column, i: Column) -> Column:
+            start = done["at"] + F.char_length(F.get(pieces, i))
+            end = start + F.char_length(F.get(m, i))
+            before, after = F.right(F.get(pieces, i), F.lit(40)), F.left(F.get(pieces, i + 1), F.lit(40))
+            span = F.struct(start.alias("start"), end.alias("end"), F.get(m, i).alias("match"), before.alias("before"), after.alias("after"))
+            return F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.expr(EMPTY).alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda done: done["out"])
+
+    spans = let(found, lambda m: F.when(F.size(m) == 0, F.expr(EMPTY)).otherwise(let(F.split(F.col(text), pattern, -1), lambda pieces: placed(m, pieces))))
+    return df.withColumn(name, spans)
 
 
 def digits_of(match: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.llm import exact_dedup, mixing, packing, pii, quality, secrets, sharding, warc
+from plotwise.llm import exact_dedup, line_dedup, minhash, mixing, packing, pii, quality, secrets, sharding, warc
 from plotwise.llm.common import documents
 
 QUERIES: dict = {}
@@ -21,6 +21,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(documents(spark, sf_dir))
+
+
+@query("op2_minhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op3_pii")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))

@@ -409,10 +409,15 @@ def _(t):
     return df.groupBy("stratum", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("E18_group_folds", "SELECT c_nationkey, count(*) AS n, 1::BIGINT AS n_folds FROM customer GROUP BY 1")
+@query(
+    "E18_group_folds",
+    """WITH g AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1),
+ o AS (SELECT *, (row_number() OVER (ORDER BY n DESC, c_nationkey) - 1) % 10 AS turn FROM g)
+SELECT c_nationkey, n, CAST(CASE WHEN turn < 5 THEN turn ELSE 9 - turn END AS INTEGER) AS fold, 1::BIGINT AS n_folds FROM o""",
+)
 def _(t):
     df = K.group_folds(t.customer, "c_nationkey", 5)
-    return df.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("n_folds"))
+    return df.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.max("fold").alias("fold"), F.countDistinct("fold").alias("n_folds"))
 
 
 @query("E19_random_folds")

@@ -187,8 +187,9 @@ def _(t):
 def _(t):
     path = t.scratch()
     for lo, hi in ((0, 11), (12, 24)):
-        A.write_table(t.supplier.where(F.col("s_nationkey").between(lo, hi)), f"{path}/units_{lo}_{hi}")
-    df = A.gather_results(t.spark, path).groupBy(F.col("s_nationkey").alias("unit"))
+        part = t.supplier.where(F.col("s_nationkey").between(lo, hi))
+        A.write_partitioned(part, f"{path}/units_{lo}_{hi}", ["s_nationkey"])
+    df = A.gather_results(t.spark, path, units=["units_0_11", "units_12_24"]).groupBy(F.col("s_nationkey").alias("unit"))
     return rounded(df.agg(F.count(F.lit(1)).alias("n"), F.sum("s_acctbal").alias("total")), 2)
 
 

@@ -16,9 +16,9 @@ def as_col(c: ColumnLike) -> Column:
 
 
 def finite(c: ColumnLike) -> Column:
-    """NaN and infinities become NULL."""
+    """NaN and infinities become NULL; NaN sorts above infinity."""
     c = as_col(c)
-    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def safe_ratio(a: ColumnLike, b: ColumnLike) -> Column:

@@ -11,6 +11,7 @@ from plotwise.functions.arrays import interpolate
 from plotwise.operators import ordering as O
 from plotwise.operators import stats as S
 from plotwise.operators import windows as W
+from plotwise.session import stored
 
 BLOCK = 4096  # units generated per row when a cell is expanded
 
@@ -181,7 +182,8 @@ def heterogeneity(df: DataFrame, cell: list[str], col: str, min_n: int = 9) -> D
 
 def zone_farm_stats(df: DataFrame, zone: str, col: str, thresholds: list[float], probs: dict[str, float] | None = None) -> DataFrame:
     """Mean, median, sd, Gini, total and n per zone, with shares below thresholds."""
-    shares = S.share_below(df.where(F.col(zone).isNotNull()), [zone], col, thresholds).drop("n", "total")
+    df = stored(df.where(F.col(zone).isNotNull()).select(zone, col))
+    shares = S.share_below(df, [zone], col, thresholds).drop("n", "total")
     rows = df.where(F.col(zone).isNotNull() & F.col(col).isNotNull())
     base = rows.groupBy(zone).agg(F.count(F.lit(1)).alias("n"), F.avg(col).alias("avg"), F.stddev_samp(col).alias("sd"), F.sum(col).alias("total"))
     mid = O.group_quantiles(rows, [zone], col, probs or {"med": 0.5})

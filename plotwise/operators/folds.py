@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from plotwise.functions import numbers as N
 from plotwise.operators import ordering as O
 
-MAX_FOLD_GROUPS = 100_000
-
 
 def stratified_folds(df: DataFrame, y: str, ids: list[str], k: int, seed: int = 0, strata: int = 4, out: str = "fold") -> DataFrame:
     """Balanced folds within quantile strata of the response.
@@ -36,25 +34,17 @@ def train_test(df: DataFrame, ids: list[str], share: float = 0.7, seed: int = 0)
 
 
 def group_folds(df: DataFrame, group: str, k: int, out: str = "fold") -> DataFrame:
-    """Whole groups per fold, balanced by size where the group table is small.
+    """Whole groups per fold, balanced by size.
 
-    Up to MAX_FOLD_GROUPS group counts are dealt greedily, largest first, to
-    the lightest fold.  With more groups, balance comes from numbers: groups
-    are dealt by hash.
+    Groups are numbered from the largest down and dealt to the folds forth and
+    back, 0 .. k-1, k-1 .. 0, so fold sizes differ by less than the largest group
+    at any number of groups. NULL is a group of its own.
     """
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    head = counts.limit(MAX_FOLD_GROUPS + 1).collect()
-    if len(head) > MAX_FOLD_GROUPS:
-        return random_folds(df, [group], k, out=out)
-    load = [0] * k
-    plan = []
-    for r in sorted(head, key=lambda r: (-r["n"], str(r[group]))):
-        fold = min(range(k), key=lambda i: (load[i], i))
-        load[fold] += r["n"]
-        plan.append((r[group], fold))
-    kind = df.schema[group].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(plan, f"`{group}` {kind}, `{out}` int")
-    return O.join_null_safe(df, F.broadcast(table), [group])
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = O.row_numbers(counts.withColumn("_less", -F.col("_n")), [], ["_less", group], "_at")
+    turn = F.pmod(F.col("_at") - 1, F.lit(2 * k))
+    fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")
+    return O.join_null_safe(df, numbered.select(group, fold.alias(out)), [group])
 
 
 def logo_plan(df: DataFrame, key: str) -> DataFrame:

@@ -21,10 +21,6 @@ from plotwise.functions import numbers as N
 from plotwise.operators import ordering as O
 from plotwise.operators.stats import regression_metrics
 
-# Largest table of leaf values (trees x leaves) that is broadcast for scoring;
-# it never exceeds the fitted model itself.
-MAX_LEAF_CELLS = 4_000_000
-
 
 def assembler(cols: list[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip")
@@ -306,14 +302,13 @@ def quantile_forest(model: PipelineModel, train: DataFrame, score: DataFrame, y:
     """Conditional quantiles per row as an array, in the order of ``probs``.
 
     Each row takes the value kept in its leaf of every tree; quantiles of these
-    values are linear between them.
+    values are linear between them. Leaves that kept no value are left out. The
+    table of kept values is smaller than the model, which every executor holds
+    anyway, and is shipped like it.
     """
     table = leaf_values(model, train, y, ids, seed)
     trees = model.stages[-1]
-    size = trees.getNumTrees * max(t.numNodes for t in trees.trees)
     scored = _with_leaves(model, score)
-    if size > MAX_LEAF_CELLS:
-        return _quantiles_by_join(scored, table, probs, out, score.columns)
     rows = table.collect()
     lookup = np.full((trees.getNumTrees, max(r["leaf"] for r in rows) + 1), np.nan)
     for r in rows:
@@ -326,22 +321,11 @@ def quantile_forest(model: PipelineModel, train: DataFrame, score: DataFrame, y:
             return pd.Series([], dtype=object)
         at = np.vstack(leaves.to_numpy()).astype(int)
         values = shared.value[np.arange(at.shape[1])[None, :], at]
-        return pd.Series(list(np.quantile(values, probs, axis=1).T))
+        return pd.Series(list(np.nanquantile(values, probs, axis=1).T))
 
     return scored.select(*score.columns, quantiles("_leaves").alias(out))
 
 
-def _quantiles_by_join(scored: DataFrame, table: DataFrame, probs: list[float], out: str, keep: list[str]) -> DataFrame:
-    """The same through a join on (tree, leaf), for models too large to broadcast."""
-    from plotwise.functions.arrays import interpolate
-
-    keyed = scored.withColumn("_row", F.struct(*keep))
-    leaves = keyed.select("_row", F.posexplode("_leaves").alias("tree", "_leaf")).select("_row", "tree", F.col("_leaf").cast("int").alias("leaf"))
-    lists = leaves.join(table, ["tree", "leaf"]).groupBy("_row").agg(F.array_sort(F.collect_list("value")).alias("_v"))
-    values = [interpolate(F.col("_v"), F.lit(float(p)) * (F.size("_v") - 1)) for p in probs]
-    return lists.select(*[F.col(f"_row.{c}").alias(c) for c in keep], F.array(*values).alias(out))
-
-
 def score_grid(model: PipelineModel, cells: DataFrame, bands: list[str], out: str = "prediction") -> DataFrame:
     """Predictions on cells; NULL where any band is missing.
 
@@ -357,11 +341,39 @@ def score_grid(model: PipelineModel, cells: DataFrame, bands: list[str], out: st
 
 
 # selection and linear models ------------------------------------------------------------------
+def _by_formula(formula: str, make: Callable[[], Estimator] | None) -> Pipeline:
+    learner = make() if make else LinearRegression(labelCol="_label")
+    return Pipeline(stages=[RFormula(formula=formula, featuresCol="features", labelCol="_label", handleInvalid="keep"), learner])
+
+
+def formula_fit(df: DataFrame, formula: str, make: Callable[[], Estimator] | None = None) -> PipelineModel:
+    """A linear or other model given by a formula."""
+    return _by_formula(formula, make).fit(df)
+
+
 def formula_oof(df: DataFrame, formula: str, y: str, fold: str, k: int, make: Callable[[], Estimator] | None = None) -> DataFrame:
     """Out-of-fold predictions of a linear or other model given by a formula."""
-    learner = make() if make else LinearRegression(labelCol="_label")
-    est = Pipeline(stages=[RFormula(formula=formula, featuresCol="features", labelCol="_label", handleInvalid="keep"), learner])
-    return oof_predict(df, est, fold, k)
+    return oof_predict(df, _by_formula(formula, make), fold, k)
+
+
+def shrunken_effects(df: DataFrame, path: list[str], value: str, strength: float) -> list[DataFrame]:
+    """The effect tables of the levels: what each group adds to the group above it."""
+    tables, work = [], df.withColumn("_rest", F.col(value).cast("double"))
+    for depth in range(1, len(path) + 1):
+        keys = path[:depth]
+        means = work.groupBy(*keys).agg(F.avg("_rest").alias("_m"), F.count("_rest").alias("_n"))
+        table = means.select(*keys, F.coalesce(F.col("_m") * F.col("_n") / (F.col("_n") + F.lit(float(strength))), F.lit(0.0)).alias("_e"))
+        tables.append(table)
+        work = O.join_null_safe(work, table, keys).withColumn("_rest", F.col("_rest") - F.col("_e")).drop("_e")
+    return tables
+
+
+def add_effects(df: DataFrame, path: list[str], tables: list[DataFrame], out: str = "group_effect") -> DataFrame:
+    """Sum of the known levels' effects; a group that training lacks adds nothing of its own."""
+    work = df.withColumn(out, F.lit(0.0))
+    for depth, table in enumerate(tables, 1):
+        work = O.join_null_safe(work, table, path[:depth], "left").withColumn(out, F.col(out) + F.coalesce("_e", F.lit(0.0))).drop("_e")
+    return work
 
 
 def shrunken_group_means(df: DataFrame, path: list[str], value: str, strength: float, out: str = "group_effect") -> DataFrame:

@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotwise.session import stored
+
 MAX_CUTS = 4096  # a power of two; bounds the list of cut points
 CUT_RATE = 65536  # one cut per so many rows; setting plotwise.cut.rate overrides
 SKETCH_GROUPS = 1024
@@ -63,7 +65,8 @@ def with_chunk(df: DataFrame, keys: list[str], order: list[str], out: str = "_ch
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi join in which NULL keys match, with one copy of the keys kept."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    if not keys:
+    if not keys:  # one row on the right
+        renamed = renamed.groupBy().agg(*[F.first(c).alias(c) for c in renamed.columns])
         on = F.lit(True)
     else:
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
@@ -209,5 +212,8 @@ def quantiles_of_counts(vals: DataFrame, keys: list[str], col: str, probs: dict[
 
 
 def group_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles per group; every group present in ``df`` with a value."""
-    return quantiles_of_counts(value_counts(df, keys, col), keys, col, probs)
+    """Exact quantiles per group; every group present in ``df`` with a value.
+
+    ``df`` is read once: cuts and sums come from the table of counted values.
+    """
+    return quantiles_of_counts(stored(value_counts(df, keys, col)), keys, col, probs)

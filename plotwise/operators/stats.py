@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plotwise.functions import numbers as N
 from plotwise.operators import clean as C
 from plotwise.operators import ordering as O
+from plotwise.session import stored
 
 
 def _tag(threshold: float) -> str:
@@ -121,7 +122,7 @@ def _basic(col: str) -> list[Column]:
 def profile(df: DataFrame, keys: list[str], col: str, probs: dict[str, float] | None = None) -> DataFrame:
     """n, mean, sample sd, min, max and exact quantiles per group."""
     probs = probs or {"q01": 0.01, "median": 0.5, "q99": 0.99}
-    base = df.where(F.col(col).isNotNull())
+    base = stored(df.where(F.col(col).isNotNull()).select(*dict.fromkeys([*keys, col])))
     return O.join_null_safe(base.groupBy(*keys).agg(*_basic(col)), O.group_quantiles(base, keys, col, probs), keys)
 
 
@@ -131,7 +132,7 @@ def profile_with_total(df: DataFrame, key: str, col: str, probs: dict[str, float
     Also n and percent of rows under each threshold, and waves and period when
     a year column is named.
     """
-    base = df.where(F.col(key).isNotNull())
+    base = stored(df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, col, *([year] if year else [])])))
     counts = [F.count(F.lit(1)).alias("n_obs"), F.avg(col).alias("avg")]
     counts += [F.count_if(F.col(col) < t).alias(f"n_{_tag(t)}") for t in below]
     if year:
@@ -139,7 +140,7 @@ def profile_with_total(df: DataFrame, key: str, col: str, probs: dict[str, float
     agg = base.rollup(key).agg(F.grouping(key).alias("_total"), *counts)
     label = F.when(F.col("_total") == 1, F.lit(total)).otherwise(F.col(key))
     agg = agg.withColumn(key, label).drop("_total")
-    vals = O.value_counts(base, [key], col)
+    vals = stored(O.value_counts(base, [key], col))
     everyone = vals.groupBy(col).agg(F.sum("_c").alias("_c")).select(F.lit(total).alias(key), col, "_c")
     table = agg.join(O.quantiles_of_counts(vals.unionByName(everyone), [key], col, probs), key, "left")
     if year:
@@ -349,10 +350,10 @@ def mean_rank(df: DataFrame, unit: str, variable: str, score: str) -> DataFrame:
 
 
 def measurement_quality(df: DataFrame, keys: list[str], measured: str, reported: str) -> DataFrame:
-    """Coverage, agreement and the ratio of reported to measured area."""
+    """Coverage, agreement and the ratio of reported to measured area; ``df`` is read once."""
     both = _pair(measured, reported) & (F.col(measured) > 0) & (F.col(reported) > 0)
     ratio = F.when(both, N.safe_ratio(reported, measured))
-    work = df.withColumn("_ratio", ratio)
+    work = stored(df.select(*dict.fromkeys([*keys, measured, reported])).withColumn("_ratio", ratio))
     base = work.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_plots"),
         F.count(measured).alias("n_measured"),

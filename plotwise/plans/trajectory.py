@@ -16,7 +16,13 @@ from plotwise.session import durable
 
 OPTICAL = ["NDVI", "EVI", "NDRE", "NDWI", "NDMI", "NBR", "CIre", "B04_mean", "B08_mean", "B8A_mean", "B11_mean", "B12_mean", "SAVI", "MSAVI2", "WDRVI", "GNDVI", "RENDVI", "LSWI2"]
 RADAR = ["VV_mean", "VH_mean", "RVI", "DpRVI", "CROSS_RATIO_DB", "RFDI", "VH_backscatter_db"]
-WINDOWS = {"early": ("2024-01-01", "2024-01-31"), "mid": ("2024-02-01", "2024-02-14"), "late": ("2024-02-15", "2024-03-31")}
+WINDOWS = {"early": ("01-01", "01-31"), "mid": ("02-01", "02-14"), "late": ("02-15", "03-31")}  # month and day
+
+
+def windows_of(year: int, windows: dict | None = None) -> dict:
+    """The windows as dates of one season; whole dates stay."""
+    dated = lambda d: d if len(d) > 5 else f"{year}-{d}"
+    return {n: (dated(a), dated(b)) for n, (a, b) in (WINDOWS if windows is None else windows).items()}
 
 
 def prepare_observations(obs: DataFrame, labels: DataFrame, s: T.Series, year: int) -> DataFrame:
@@ -28,7 +34,7 @@ def prepare_observations(obs: DataFrame, labels: DataFrame, s: T.Series, year: i
 def entity_features(obs: DataFrame, labels: DataFrame, s: T.Series, year: int, sensor: str = "fusion_type", windows: dict | None = None) -> DataFrame:
     """One row of trajectory and cross-sensor features per entity."""
     ready = prepare_observations(obs, labels, s, year)
-    plan = T.FeaturePlan(OPTICAL, RADAR, WINDOWS if windows is None else windows)
+    plan = T.FeaturePlan(OPTICAL, RADAR, windows_of(year, windows))
     feats = T.build_trajectory_features(ready, s, plan, N.is_in(sensor, ["fused", "optical_only"]), N.is_in(sensor, ["fused", "sar_only"]))
     return I.add_cross_features(feats)
 
@@ -44,12 +50,14 @@ def feature_matrix(feats: DataFrame, key: str, y: str, keep: list[str] = ()) ->
     return full.withColumns({c: N.clip(c, -1e15, 1e15) for c in cols}), cols
 
 
-def train_ensemble(feats: DataFrame, labels: DataFrame, key: str, y: str, group: str | None = None, k: int = 5, trees: int = 500, rounds: int = 100) -> dict[str, DataFrame]:
+def train_ensemble(feats: DataFrame, labels: DataFrame, key: str, y: str, group: str | None = None, k: int = 5, order: list[str] = (), trees: int = 500, rounds: int = 100) -> dict[str, DataFrame]:
     """Out-of-fold predictions of three learners and their weighted ensemble.
 
-    Folds keep whole groups together when a group column is named.
+    Folds keep whole groups together when a group column is named. Of several
+    labels of one entity the first by ``order`` counts, then the smallest.
     """
-    one = labels.where(F.col(y).isNotNull()).groupBy(key).agg(F.min(F.struct(y, *([group] if group else []))).alias("_l"))
+    kept = list(dict.fromkeys([*order, y, *([group] if group else [])]))
+    one = labels.where(F.col(y).isNotNull()).groupBy(key).agg(F.min(F.struct(*kept)).alias("_l"))
     joined = feats.join(one, key).select(*feats.columns, F.col(f"_l.{y}").cast("double").alias(y), *([F.col(f"_l.{group}").alias(group)] if group else []))
     joined = durable(joined)
     matrix, cols = feature_matrix(joined, key, y, keep=[group] if group else [])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,8 +60,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    """Whether anything lies at the path or matches the pattern."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def trim_header(df: DataFrame) -> DataFrame:
@@ -132,9 +139,15 @@ def pending_units(plan: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
     return plan.join(done.select(*keys), keys, "left_anti")
 
 
-def gather_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """All per-unit results below one directory as a single table."""
-    return spark.read.option("recursiveFileLookup", True).format(fmt).load(path)
+def gather_results(spark: SparkSession, path: str, fmt: str = "parquet", units: list[str] | None = None) -> DataFrame:
+    """All per-unit results below one directory as a single table.
+
+    Folders named column=value below ``path`` give a column. ``units`` names
+    folders that are called otherwise; column=value folders below those give
+    columns as well.
+    """
+    parts = [spark.read.format(fmt).load(p) for p in ([path] if units is None else [f"{path}/{u}" for u in units])]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def completeness(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

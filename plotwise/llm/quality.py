@@ -12,20 +12,25 @@ from plotwise.llm.common import SPACE, let
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
-#: Shares that rules may test, as SQL over the counts.
+#: What rules may test: a count over another, or alone.
 FEATURES = {
-    "symbols_per_word": "n_symbols / greatest(n_words, 1)",
-    "marks_per_word": "n_marks / greatest(n_words, 1)",
-    "upper_share": "n_upper / greatest(word_chars, 1)",
-    "digit_share": "n_digits / greatest(word_chars, 1)",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
-    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
-    "distinct_share": "n_distinct_words / greatest(n_words, 1)",
-    "mean_word": "word_chars / greatest(n_words, 1)",
-    "words": "double(n_words)",
+    "symbols_per_word": ("n_symbols", "n_words"),
+    "marks_per_word": ("n_marks", "n_words"),
+    "upper_share": ("n_upper", "word_chars"),
+    "digit_share": ("n_digits", "word_chars"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "mean_word": ("word_chars", "n_words"),
+    "words": ("n_words", None),
 }
 
 
+def feature(name: str, count) -> Column:
+    """The value of a feature; count(name) gives a count."""
+    over, under = FEATURES[name]
+    return count(over).cast("double") if under is None else count(over) / F.greatest(count(under), F.lit(1))
+
+
 def _removed(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
@@ -33,12 +38,16 @@ def _removed(text: Column, characters: str) -> Column:
 def _repeated_words(words: Column) -> Column:
     """Places in three-word windows that occur twice or more.
 
-    Windows are sorted with their places; one that equals a neighbour occurs
-    again and covers its place and the next two.
+    Where all windows hash differently none occurs again. Otherwise windows are
+    sorted with their places; one that equals a neighbour occurs again and covers
+    its place and the next two.
     """
 
-    def window(i: Column) -> Column:
-        return F.struct(*[F.get(words, i + k).alias(f"w{k}") for k in range(3)], i.alias("i"))
+    def window(i: Column) -> list[Column]:
+        return [F.get(words, i + k) for k in range(3)]
+
+    def placed(i: Column) -> Column:
+        return F.struct(*[w.alias(f"w{k}") for k, w in enumerate(window(i))], i.alias("i"))
 
     def same(x: Column, y: Column) -> Column:
         return (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"])
@@ -47,32 +56,39 @@ def _repeated_words(words: Column) -> Column:
         again = F.filter(windows, lambda x, j: same(x, F.get(windows, j - 1)) | same(x, F.get(windows, j + 1)))
         return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
-    windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window))
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(windows, covered))
+    def counted(places: Column) -> Column:
+        different = F.size(F.array_distinct(F.transform(places, lambda i: F.xxhash64(*window(i)))))
+        return F.when(different == F.size(places), F.lit(0)).otherwise(let(F.sort_array(F.transform(places, placed)), covered))
+
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(F.sequence(F.lit(0), F.size(words) - 3), counted))
 
 
 def counts(text: Column) -> Column:
-    """A struct of counts of the whole text; NULL counts as empty."""
+    """A struct of counts of the whole text; NULL counts as empty.
+
+    One pass drops all characters but those that are counted; the counts come
+    from what is left.
+    """
     body = F.coalesce(text, F.lit(""))
     words = F.array_remove(F.split(body, SPACE + "+"), "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    rare = F.regexp_replace(body, f"[^{SYMBOLS}!?0-9{UPPER}]+", "")
 
-    def of(w: Column, x: Column) -> Column:
+    def of(w: Column, x: Column, r: Column) -> Column:
         found = {
             "n_words": F.size(w),
-            "word_chars": F.length(F.translate(body, " \t\n\x0b\x0c\r", "")),
-            "n_symbols": _removed(body, SYMBOLS),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": _removed(r, SYMBOLS),
             "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)),
             "n_repeat_words": _repeated_words(w),
             "n_lines": F.size(x),
-            "n_marks": _removed(body, "!?"),
-            "n_upper": _removed(body, UPPER),
-            "n_digits": _removed(body, "0123456789"),
-            "n_distinct_words": F.size(F.array_distinct(w)),
+            "n_marks": _removed(r, "!?"),
+            "n_upper": _removed(r, UPPER),
+            "n_digits": _removed(r, "0123456789"),
         }
         return F.struct(*[c.cast("long").alias(k) for k, c in found.items()])
 
-    return let(words, lambda w: let(lines, lambda x: of(w, x)))
+    return let(F.struct(words.alias("w"), lines.alias("x"), rare.alias("r")), lambda t: of(t["w"], t["x"], t["r"]))
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -80,13 +96,8 @@ def with_counts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_stats", counts(F.col("text"))).select(*docs.columns, "_stats.*")
 
 
-def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
-    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
-
-
-def features(stats: DataFrame) -> DataFrame:
-    """The shares as columns, from the counts as columns."""
-    return stats.withColumns({k: F.expr(e) for k, e in FEATURES.items()})
+def base_failed(count) -> Column:
+    return (count("n_words") < 50) | (100 * count("n_repeat_words") > 50 * count("n_words"))
 
 
 @dataclass(frozen=True)
@@ -98,8 +109,8 @@ class Test:
     def holds(self, row: dict) -> bool:
         return (row[self.feature] > self.bound) == self.above
 
-    def column(self) -> Column:
-        value = F.expr(FEATURES[self.feature])
+    def column(self, count) -> Column:
+        value = feature(self.feature, count)
         return value > self.bound if self.above else value <= self.bound
 
 
@@ -177,20 +188,20 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int) -> list[dict]:
     chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(limit)
     counted = with_counts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    table = features(counted).filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    rows = table.select((F.col("quality") == 0).cast("int").alias("bad"), *FEATURES).orderBy("bad", *FEATURES).collect()
-    return [r.asDict() for r in rows]
+    bad = (F.col("quality") == 0).cast("int")
+    rows = counted.select(bad.alias("bad"), base_failed(F.col).alias("failed"), *[feature(f, F.col).alias(f) for f in FEATURES]).collect()
+    return sorted((r.asDict() for r in rows if not r.failed), key=lambda r: (r["bad"], *[r[f] for f in FEATURES]))
 
 
-def verdict(rules: list[list[Test]]) -> Column:
-    """The decision list as one ordered conditional expression: true stays."""
+def verdict(rules: list[list[Test]], count) -> Column:
+    """The base rules, then the decision list as one ordered conditional expression: true stays."""
     out = F.lit(True)
     for rule in reversed(rules):
-        holds = rule[0].column()
+        holds = rule[0].column(count)
         for test in rule[1:]:
-            holds = holds & test.column()
+            holds = holds & test.column(count)
         out = F.when(holds, F.lit(False)).otherwise(out)
-    return out
+    return ~base_failed(count) & out
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, limit: int = 4000) -> list[list[Test]]:
@@ -206,9 +217,7 @@ def judged(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
     and the base decides. Columns of any name fit, as they are nested.
     """
     nested = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col("text"))
-    rows = with_counts(nested)
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return with_counts(nested).withColumns({"base_failed": base_failed(F.col), "kept": verdict(rules, F.col)})
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -219,4 +228,5 @@ def quality_digest(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that the base and the learned rules keep, with their own columns."""
-    return judged(docs, fit_rules(docs, labels, **options)).filter("kept").select("_row.*")
+    rules = fit_rules(docs, labels, **options)
+    return docs.filter(let(counts(F.col("text")), lambda c: verdict(rules, lambda name: c[name])))

@@ -45,9 +45,9 @@ def lookup_join(df: DataFrame, ref: DataFrame, key: str, order: list[str], last:
     return df.join(kept.drop(*[c for c in order if c != key]), key, "left")
 
 
-def expand_grid(spark: SparkSession, **axes) -> DataFrame:
-    """All combinations of a few short value lists, as an experiment plan."""
-    out = spark.range(1).select()
+def expand_grid(start: SparkSession | DataFrame, **axes) -> DataFrame:
+    """All combinations of a few short value lists, or each row of a table with them."""
+    out = start if isinstance(start, DataFrame) else start.range(1).select()
     for name, values in axes.items():
         out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return out

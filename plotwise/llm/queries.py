@@ -26,7 +26,35 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(documents(spark, sf_dir))
 
 
-@query("op2_minhash_near_dedup")
+@query(
+    "op2_minhash_near_dedup",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents
+    ), g AS (
+      SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0
+    ), s AS (
+      SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END, ' ') AS shingle FROM g
+    ), n AS (
+      SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+    ), p AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m
+      FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+    ), l AS (
+      SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)
+    ), e AS (
+      SELECT a, b FROM l UNION SELECT b, a FROM l
+    ), r(doc_id, root) AS (
+      SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id
+    ), c AS (
+      SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1
+    )
+    SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
+    FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+    """,
+)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -36,7 +64,22 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
 
 
-@query("op4_warc_normalise")
+@query(
+    "op4_warc_normalise",
+    """
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) || '00' AS hex,
+             min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+      FROM pages
+    )
+    SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + ((('0x' || substr(hex, (i * 5 // 4 + 1)::INTEGER, 3))::INTEGER >> (7 - i * 5 % 4)::INTEGER) & 31), 1)), '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+    FROM p
+    """,
+)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

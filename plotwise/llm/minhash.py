@@ -18,7 +18,9 @@ from plotwise.llm.graph import components
 
 WORDS = 5  # words of a shingle
 KEPT = 48  # values of a sketch
-LISTED = 32  # smallest values that make inverted lists
+SPARE = 6  # largest lists that a set leaves
+SHORT = 64  # longest list whose pairs become rows
+BLOCK = 2048  # sets of a longer list in a block
 LIKELY = 45  # estimated percentage from which a pair is verified
 ENOUGH = 75  # percentage that links
 REMEMBERED = 200_000  # words whose hash a task remembers; more begin afresh
@@ -98,18 +100,24 @@ def comparable(a: Column, b: Column) -> Column:
 
 
 def inverted_lists(sketches: DataFrame) -> DataFrame:
-    """key, sid and n_shingles: a list for each two neighbouring retained values.
-
-    Two sets that overlap by three quarters share neighbours in their sketches
-    unless no two of the 32 smallest values of the union lie in both: 3 in 10^8
-    pairs at the threshold, none for sets of up to 32 shingles. Equal sets are
-    one entry. Sets of one or two shingles can only link to equal sets.
+    """key, sid, n_shingles and list_size: a list for each two neighbouring retained values.
+
+    Sets that overlap by three quarters share many such lists: more than 6 of
+    them but for 2 in 10^7 pairs at the threshold, and sets of n values, all
+    retained, at least n / 2 - 1. So each set may leave its largest lists, one
+    fewer than it is bound to share: of those a pair shares, the smallest is
+    never among them. That keeps passages which very many documents hold from
+    making lists. Equal sets are one entry. Sets of one or two shingles can only
+    link to equal sets.
     """
-    pairs = F.expr(f"transform(sequence(0, least({LISTED}, size(sketch)) - 2), i -> xxhash64(sketch[i], sketch[i + 1]))")
+    pairs = F.expr("transform(sequence(0, size(sketch) - 2), i -> xxhash64(sketch[i], sketch[i + 1]))")
     entries = sketches.filter("n_shingles > 2").select(F.explode(pairs).alias("key"), "sid", "n_shingles")
     entries = entries.groupBy("key", "sid").agg(F.min("n_shingles").alias("n_shingles"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("list_size")).filter("list_size > 1")
-    return stored(entries.join(shared, "key"))
+    spare = F.when(F.col("n_shingles") > KEPT, F.lit(SPARE)).otherwise(F.greatest(F.lit(0), F.least(F.lit(SPARE), F.floor(F.col("n_shingles") / 2) - 2)))
+    largest = Window.partitionBy("sid").orderBy(F.desc("list_size"), "key")
+    numbered = entries.join(shared, "key").withColumn("place", F.row_number().over(largest))
+    return stored(numbered.filter(F.col("place") > spare).drop("place"))
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
@@ -166,15 +174,82 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter("la <> lb").drop("la", "lb")
 
 
+def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that more than one component shares, with the label of each entry."""
+    marked = lists.select("key", "sid", "n_shingles", "list_size").join(labels, "sid")
+    mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    return marked.join(mixed, "key")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of sets.
+
+    Values that many sets hold are counted by one matrix product, values that few
+    hold pair by pair.
+    """
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((owner, value))
+    owner, value = owner[order], value[order]
+    often = times[value] > 16
+    both = np.zeros((n, n), dtype=np.float32)
+    if often.any():
+        columns = np.unique(value[often], return_inverse=True)[1]
+        for first in range(0, columns.max() + 1, 4096):
+            part = (columns >= first) & (columns < first + 4096)
+            held = np.zeros((n, min(4096, columns.max() + 1 - first)), dtype=np.float32)
+            held[owner[often][part], columns[part] - first] = 1
+            both += held @ held.T
+    owner, value = owner[~often], value[~often]
+    for step in range(1, 16):
+        same = value[step:] == value[:-step]
+        np.add.at(both, (owner[:-step][same], owner[step:][same]), 1)
+        np.add.at(both, (owner[step:][same], owner[:-step][same]), 1)
+    return both.astype(np.int64)
+
+
+def linked_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links that span the components of a block of a long list: one fewer than sets, by whole sets."""
+    known, reader = WordHash(), zstandard.ZstdDecompressor()
+    sets = [shingle_hashes(reader.decompress(x), known) for x in rows.packed]
+    size = np.array([len(s) for s in sets])
+    both = overlaps(sets)
+    link = 100 * both >= ENOUGH * (size[:, None] + size[None, :] - both)
+    keys, out = rows.set_key.tolist(), []
+    unseen = np.ones(len(sets), dtype=bool)
+    for start in range(len(sets)):
+        if unseen[start]:
+            unseen[start], reached = False, [start]
+            while reached:
+                at = reached.pop()
+                near = np.flatnonzero(link[at] & unseen)
+                unseen[near] = False
+                reached += near.tolist()
+                out += [(keys[at], keys[k]) for k in near]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def long_list_links(lists: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links, as set keys a and b, within the mixed lists that are too long for pairs as rows.
+
+    A list is cut into blocks; each two blocks meet in one task, which compares
+    whole sets and returns links that span what it joined.
+    """
+    marked = mixed_lists(lists, labels).filter(F.col("list_size") > SHORT).select("key", "sid", F.ceil(F.col("list_size") / BLOCK).cast("int").alias("blocks"))
+    texts = sets_of(sketches, marked.select(F.col("sid").alias("a"), F.col("sid").alias("b")), "packed")
+    rows = marked.join(texts, "sid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_key", "packed")
+    return stored(rows.groupBy("key", "i", "j").applyInPandas(linked_block, "a binary, b binary").distinct())
+
+
 def remaining_pairs(lists: DataFrame, labels: DataFrame, sketches: DataFrame, tried: DataFrame) -> DataFrame:
-    """Likely pairs within a list whose sets are in different components, but for those tried.
+    """Likely pairs within a short list whose sets are in different components, but for those tried.
 
-    Lists that one component fills have none left; the estimate is part of the
-    join, so unlikely pairs are never rows.
+    The estimate is part of the join, so unlikely pairs are never rows.
     """
-    marked = lists.select("key", "sid", "n_shingles").join(labels, "sid")
-    mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    marked = marked.join(mixed, "key")
+    marked = mixed_lists(lists, labels).filter(F.col("list_size") <= SHORT).drop("list_size")
     held = sets_of(sketches, marked.select(F.col("sid").alias("a"), F.col("sid").alias("b")), "sketch").select("sid", "sketch")
     marked = stored(marked.join(held, "sid"))
     x = marked.select("key", *[F.col(c).alias(f"x_{c}") for c in ("sid", "label", "n_shingles", "sketch")])
@@ -196,9 +271,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Sets of distinct 5-word shingles link when 100 * intersection >= 75 * union;
     components close over links. Equal sets are one node from the start. Members
-    of a list are first compared with its hub, best estimate first; then pairs
-    that still lie in different components are compared, so each likely pair is
-    either verified or already joined.
+    of a list are first compared with its hub, best estimate first; then sets
+    that still lie in different components are compared, long lists block by
+    block and short ones pair by pair, so each likely pair is either verified or
+    already joined.
 
     NULL and empty texts have no set and link with nothing. component_id is the
     smallest doc_id of the component; NULLs come after numbers. The row with it
@@ -214,6 +290,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = labelled(sketches, links)
     links = links.unionByName(verified(apart(tried, labels), sketches))
     labels = labelled(sketches, links)
+    links = links.unionByName(long_list_links(lists, labels, sketches))
     links = links.unionByName(verified(remaining_pairs(lists, labels, sketches, tried), sketches))
     nodes = components(links).withColumnRenamed("node", "set_key")
     own = F.when(F.col("n_shingles") == 0, F.concat(F.lit(b"row"), F.col("row").cast("string").cast("binary"))).otherwise(F.coalesce("label", "set_key"))

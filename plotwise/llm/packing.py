@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -18,7 +19,8 @@ from plotwise.llm.common import stored, text_of
 LIMIT = 2048
 BLOCK = 2000  # pieces per block
 ISLANDS = 2
-MOST_WORDS = 200_000  # words an executor remembers; more begin afresh
+MOST_WORDS = 400_000  # words of a generation that a task remembers
+MARKED_WORD = re.compile("([a-zà-öø-ÿ]+)([.,!?;:*$%&#|]*)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid string"
 PACKED = "uid string, length long, block long, island int, bin int, offset long, fill long"
 
@@ -29,33 +31,58 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Ids of a text as little-endian 32-bit words.
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones are themselves, others follow from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
-    The vocabulary never joins across ASCII white space, so ids of a text are
-    those of its words, and words come again.
+
+class WordIds(dict):
+    """Ids of a word as little-endian 32-bit words, worked out when first met.
+
+    The vocabulary lower-cases and never joins across ASCII white space, nor
+    letters with a mark after them; so ids of a text are those of its words, and
+    words come again. Lower-case letters need no normalising: the vocabulary's
+    model gets them directly, byte by byte as its characters. Two generations are
+    remembered: words not met again while one fills are forgotten.
     """
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.known) > MOST_WORDS:
-            self.known = {}
-        new = list({w for words in texts for w in words if w not in self.known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def ids(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
+        self.model, self.as_characters = self.tokenizer.model, byte_characters()
+        self.raw = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._encoded(word)
+        self[word] = ids
+        return ids
+
+    def _encoded(self, word: bytes) -> bytes:
+        match = MARKED_WORD.fullmatch(word.decode())
+        if not match:
+            return b"".join([self.raw[k] for k in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
+        letters, marks = match.groups()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.as_characters)
+        ids = b"".join([self.raw[t.id] for t in self.model.tokenize(letters)])
+        return ids + self[marks.encode()] if marks else ids
+
+    def of(self, text: str) -> bytes:
+        raw = text.encode()
+        words = (raw if b"<|" in raw else raw.lower()).split()  # names of special tokens are case-sensitive
+        return b"".join(map(self.__getitem__, words))
+
+    def forget(self) -> None:
+        if len(self) > MOST_WORDS:
+            self.older = dict(self)
+            self.clear()
 
 
 def cut_into_pieces(path: str, limit: int):
@@ -64,13 +91,12 @@ def cut_into_pieces(path: str, limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordIds(path)
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                part = batch.iloc[first : first + 256]
-                texts = [t.encode().split() for t in part.text]
-                words.learn(texts)
+            for first in range(0, len(batch), 512):
+                part = batch.iloc[first : first + 512]
+                words.forget()
                 rows = []
-                for doc_id, uid, text in zip(part.doc_id, part.uid, texts):
-                    ids = words.ids(text) + b"\0\0\0\0"
+                for doc_id, uid, text in zip(part.doc_id, part.uid, part.text):
+                    ids = words.of(text) + b"\0\0\0\0"
                     for k, at in enumerate(range(0, len(ids), 4 * limit)):
                         cut = ids[at : at + 4 * limit]
                         rows.append((None if pd.isna(doc_id) else int(doc_id), k, at // 4, len(cut) // 4, zlib.crc32(cut), f"{uid}-{k}"))
@@ -172,7 +198,7 @@ def packed_rows(pieces: pd.DataFrame, bins, lengths, island: int) -> pd.DataFram
 def settle(limit: int):
     """An island's first epoch: its best packing of the block."""
 
-    def run(key, pieces: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["length", "uid"], ascending=[False, True], ignore_index=True)
         lengths = pieces.length.tolist()
         return packed_rows(pieces, evolve(lengths, limit, seed=int(key[1])), lengths, int(key[1]))
@@ -183,7 +209,7 @@ def settle(limit: int):
 def migrate(limit: int):
     """The last epoch: the islands' elites of a block meet and are crossed."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         one = rows[rows.island == rows.island.min()].sort_values(["length", "uid"], ascending=[False, True], ignore_index=True)
         lengths, number = one.length.tolist(), {u: i for i, u in enumerate(one.uid)}
         elites = []

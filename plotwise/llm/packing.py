@@ -221,9 +221,9 @@ def migrate(limit: int):
     return run
 
 
-def evolved(pieces: DataFrame, blocks: int, limit: int) -> DataFrame:
-    """uid, length and place of each piece after both epochs."""
-    dealt = pieces.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"))
+def evolved(pieces: DataFrame, blocks: int, limit: int, turn: int) -> DataFrame:
+    """uid, length and place of each piece after both epochs; each turn deals anew."""
+    dealt = pieces.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(blocks)).alias("block"))
     islands = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
     first = islands.groupBy("block", "island").applyInPandas(settle(limit), PACKED)
     return first.groupBy("block").applyInPandas(migrate(limit), PACKED)
@@ -231,7 +231,7 @@ def evolved(pieces: DataFrame, blocks: int, limit: int) -> DataFrame:
 
 def bin_number(turn: int):
     """A number below 0 per (turn, block, bin); full pieces have numbers from 0 on."""
-    return -1 - (F.lit(turn).cast("long") * F.lit(2**57) + F.col("block") * F.lit(2**24) + F.col("bin"))
+    return -1 - (F.lit(turn).cast("long") * F.lit(2**51) + F.col("block") * F.lit(2**24) + F.col("bin"))
 
 
 def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, block: int = BLOCK, full: float = 0.99) -> DataFrame:
@@ -240,8 +240,10 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, block: in
     A document's ids end with id 0; only documents longer than `limit` are cut.
     Full pieces are sequences as they are. The others are dealt to blocks of
     about `block` pieces; each block is evolved on two islands, whose elites then
-    meet. Bins that are `full` stay; what the others hold is dealt to fewer
-    blocks, at most half as many, until one block is left.
+    meet. Bins that are `full` stay; what the others hold is dealt anew to blocks
+    of that size. The end is a single block, or a turn that saves less than a bin
+    per block: then lengths leave no better fit, and the better of the last two
+    packings stays.
 
     NULL and empty texts are the id 0 alone; each row is a document of its own,
     also where a doc_id repeats or is NULL. Extra columns are ignored. An empty
@@ -251,17 +253,20 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, block: in
     pieces = stored(rows.mapInPandas(cut_into_pieces(path or tokenizer_path(), limit), PIECES))
     whole = pieces.filter(F.col("length") == limit).select("uid", F.lit(0).cast("long").alias("offset"), F.monotonically_increasing_id().alias("sequence_id"))
     places, left, turn = [whole], pieces.filter(F.col("length") < limit).select("uid", "length"), 0
-    number = left.count()
-    blocks = ceil(number / block)
+    number, waiting, before = left.count(), None, 0
     while number:
-        now = stored(evolved(left, blocks, limit))
-        stay = F.lit(True) if blocks <= 1 else F.col("fill") >= full * limit
-        places.append(now.filter(stay).select("uid", "offset", bin_number(turn).alias("sequence_id")))
-        if blocks <= 1:
+        blocks = ceil(number / block)
+        now = stored(evolved(left, blocks, limit, turn)).withColumn("sequence_id", bin_number(turn))
+        bins = now.filter("offset = 0").count()
+        if blocks == 1 or (turn and before - bins < blocks):
+            last = now if turn == 0 or bins < before else waiting
+            places.append(last.select("uid", "offset", "sequence_id"))
             break
-        left = now.filter(~stay).select("uid", "length")
-        number, turn = left.count(), turn + 1
-        blocks = max(1, min(ceil(number / block), blocks // 2))
+        stay = F.col("fill") >= full * limit
+        places.append(now.filter(stay).select("uid", "offset", "sequence_id"))
+        waiting = now.filter(~stay)
+        left = waiting.select("uid", "length")
+        number, before, turn = left.count(), waiting.filter("offset = 0").count(), turn + 1
     placed = places[0]
     for p in places[1:]:
         placed = placed.unionByName(p)

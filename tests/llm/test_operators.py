@@ -250,6 +250,19 @@ def test_packing(edge, small, spark):
     assert bins <= 1.02 * least + 1
 
 
+def test_packing_keeps_blocks_small(spark, monkeypatch):
+    """Lengths that no bin can fill stay in blocks of the stated size, turn after turn."""
+    turns, inner = [], packing.evolved
+    monkeypatch.setattr(packing, "evolved", lambda left, blocks, *a: turns.append((left.count(), blocks)) or inner(left, blocks, *a))
+    df = spark.range(400).selectExpr("id AS doc_id", "repeat('a ', 29) AS text")
+    found = packing.pack(df, limit=100, block=40).collect()
+    assert {r.length for r in found} == {30} and len(found) == 400
+    assert len({(r.sequence_id, r.offset) for r in found}) == 400
+    fills = Counter(r.sequence_id for r in found)
+    assert max(fills.values()) == 3 and len(fills) <= 400 / 3 + 10
+    assert all(n <= 40 * blocks for n, blocks in turns) and len(turns) <= 6
+
+
 def test_crossover_keeps_every_item():
     dice = random.Random(5)
     lengths = [dice.randrange(1, 100) for _ in range(200)]

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_line_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_digest(documents(spark, sf_dir))
+    return line_dedup.line_digest(documents(spark, sf_dir), growing=True)
 
 
 @query(

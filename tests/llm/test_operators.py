@@ -397,6 +397,38 @@ def test_line_dedup(edge, spark):
             assert (i in got) == (not gone or bool(B.words(kept)))
 
 
+def test_lines_with_a_changed_word(spark):
+    """Edits that grow with the line: every pair within them is one class, others stay apart."""
+    dice, lines = random.Random(8), []
+    for k in range(12):
+        base = sentence(700 + k, 30 + 5 * k)
+        words = base.split(" ")
+        at = dice.randrange(len(words))
+        lines += [base, " ".join([*words[:at], "another", *words[at + 1 :]]), " ".join([*words[: at // 2], *words[at // 2 + 2 :]]), base.replace("a", "é", 1 + k)]
+    rows = [(i, line) for i, line in enumerate(lines)]
+    links = [(a, b) for a, x in rows for b, y in rows[a + 1 :] if a // 4 == b // 4 and B.edit_distance(x, y) <= line_dedup.allowed_edits(min(len(x), len(y)), True)]  # bases are far from each other
+    want = B.components(range(len(rows)), links)
+    assert sum(want[4 * k] == want[4 * k + 1] for k in range(12)) > 6
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.line_digest(df, growing=True).collect()
+    assert {r.doc_id: r.n_removed for r in found} == {i: int(c != i) for i, c in want.items()}
+    kept = {r.doc_id for r in line_dedup.dedup_lines(df, growing=True).collect()}
+    assert kept == {i for i, c in want.items() if c == i}
+
+
+def test_many_edits():
+    dice = random.Random(12)
+    for _ in range(400):
+        a = "".join(dice.choice("abc") for _ in range(dice.randrange(0, 40)))
+        b = list(a)
+        for _ in range(dice.randrange(0, 9)):
+            at = dice.randrange(len(b) + 1)
+            b[at : at + dice.randrange(2)] = dice.choice(["", "a", "b", "x"])
+        b = "".join(b)
+        for k in (0, 1, 3, 5, 8):
+            assert line_dedup.within_many(a, b, k) == (B.edit_distance(a, b) <= k)
+
+
 def test_line_dedup_of_null_ids(spark):
     rows = [(None, "the very same line in two documents of no number"), (4, "the very same line in two documents of no number"), (4, "the very same line in two documents of no number")]
     found = line_dedup.line_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()

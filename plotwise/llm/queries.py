@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.llm import exact_dedup, line_dedup, minhash, mixing, packing, pii, quality, secrets, sharding, warc
+from plotwise.llm import exact_dedup, line_dedup, merkle, minhash, mixing, packing, pii, quality, search, secrets, sharding, simhash, warc
 from plotwise.llm.common import documents
 
 QUERIES: dict = {}
@@ -159,3 +159,94 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved_shards(documents(spark, sf_dir))
+
+
+@query(
+    "op11_merkle_manifest",
+    """
+    WITH RECURSIVE f AS (
+      SELECT *, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS grp,
+             coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+             coalesce(strlen(text) || ':' || text, '-') AS tail
+      FROM documents
+    ), crc AS (
+      SELECT doc_id, doc_id::VARCHAR AS s, 0 AS k, 4294967295 AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+      UNION ALL
+      SELECT doc_id, s, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+      FROM (SELECT doc_id, s, k, CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(s, k // 8 + 1, 1))::BIGINT) ELSE c END AS x FROM crc WHERE k < 8 * length(s))
+    ), t AS (
+      SELECT doc_id FROM crc WHERE k = 8 * length(s) AND xor(c, 4294967295) % 7 = 0
+    ), h AS (
+      SELECT grp, doc_id, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+             sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS other
+      FROM f
+    ), leaves AS (
+      SELECT grp, doc_id, leaf, CASE WHEN doc_id IN (SELECT doc_id FROM t) THEN other ELSE leaf END AS now,
+             row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n
+      FROM h
+    ), lv AS (
+      SELECT grp, 0 AS level, idx, n, leaf AS h FROM leaves
+      UNION ALL
+      SELECT grp, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM lv WHERE n > 1 GROUP BY grp, level, n, idx // 2
+    ), tops AS (
+      SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM lv WHERE n = 1
+    ), up AS (
+      SELECT 0 AS level, idx, n, h FROM tops
+      UNION ALL
+      SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY level, n, idx // 2
+    ), climb AS (
+      SELECT grp, doc_id, leaf, 0 AS level, idx, n, '' AS proof, now AS h FROM leaves
+      UNION ALL
+      SELECT c.grp, c.doc_id, c.leaf, c.level + 1, c.idx // 2, (c.n + 1) // 2, c.proof || coalesce(s.h, ''),
+             sha256(CASE WHEN c.idx % 2 = 1 THEN s.h || c.h ELSE c.h || coalesce(s.h, '') END)
+      FROM climb c LEFT JOIN lv s ON s.grp = c.grp AND s.level = c.level AND s.idx = xor(c.idx, 1) WHERE c.n > 1
+    ), rest AS (
+      SELECT doc_id, leaf, t.h AS subroot, 0 AS level, t.idx, t.n, c.proof, c.h FROM climb c JOIN tops t ON c.grp = t.grp WHERE c.n = 1
+      UNION ALL
+      SELECT c.doc_id, c.leaf, c.subroot, c.level + 1, c.idx // 2, (c.n + 1) // 2, c.proof || coalesce(s.h, ''),
+             sha256(CASE WHEN c.idx % 2 = 1 THEN s.h || c.h ELSE c.h || coalesce(s.h, '') END)
+      FROM rest c LEFT JOIN up s ON s.level = c.level AND s.idx = xor(c.idx, 1) WHERE c.n > 1
+    )
+    SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, r.h AS folded_root, r.h = u.h AS verified
+    FROM rest r, (SELECT h FROM up WHERE n = 1) u WHERE r.n = 1
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+@query("op12_simhash_near_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+      FROM documents
+    ), q AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark
+    ), s AS (
+      SELECT count(*) FILTER (len(t) > 0) AS big_n, sum(len(t))::BIGINT AS big_l FROM d
+    ), o AS (
+      SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d
+    ), p AS (
+      SELECT doc_id, n, term, count(*) AS tf FROM o WHERE term IN (SELECT term FROM q) GROUP BY ALL
+    ), w AS (
+      SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, big_n
+    ), c AS (
+      SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * big_n) // big_l)))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY 1, 2
+    ), r AS (
+      SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM c WHERE score > 0
+    )
+    SELECT * FROM r WHERE rank <= 50
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,23 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint that outlives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    """A session setting for the jobs run inside; the value before returns."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def stored_in_batches(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """stored(), with what goes to Python at once bounded in bytes: for rows of packed values or long texts."""
+    with setting(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", most):
+        return stored(df)

@@ -10,11 +10,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plotwise.llm.common import scratch, stored, text_of
+from plotwise.llm.common import scratch, text_of
+from plotwise.session import stored_in_batches
 
 TOP = 50
 BLOCK_ITEMS = 256  # queries that one pass over the documents answers
@@ -103,16 +105,18 @@ def shared_sums(items: list[set[int]], terms: int) -> Plan:
 
 
 def posted(vocabulary: dict[bytes, int]):
-    def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents to their number of terms and the counts of those that queries hold."""
         for batch in batches:
-            rows = []
-            for text in batch.text:
-                words = terms_of(text)
+            sizes, terms, counts = [], [], []
+            for text in batch.column(1):
+                words = terms_of(text.as_py())
                 held = Counter(filter(None.__ne__, map(vocabulary.get, words)))
-                rows.append((len(words), np.fromiter(held, dtype=np.int32), np.fromiter(held.values(), dtype=np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "terms", "tf"])
-            yield out.assign(doc_id=batch.doc_id.astype("Int64").to_numpy())[["doc_id", "n", "terms", "tf"]]
+                sizes.append(len(words))
+                terms.append(np.fromiter(held, dtype=np.int32))
+                counts.append(np.fromiter(held.values(), dtype=np.int64))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "terms", "tf"])
 
     return postings
 
@@ -193,8 +197,8 @@ def block_ranking(docs: DataFrame, block: dict, top: int) -> DataFrame:
     """item_id, doc_id and score of the best documents of each task, for the queries of a block."""
     vocabulary = {t: i for i, t in enumerate(sorted(set().union(*block.values())))}
     plan = shared_sums([{vocabulary[t] for t in held} for held in block.values()], len(vocabulary))
-    texts = docs.select("doc_id", F.encode(text_of(), "UTF-8").alias("text"))
-    postings = stored(texts.mapInPandas(posted(vocabulary), POSTINGS))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("text"))
+    postings = stored_in_batches(texts.mapInArrow(posted(vocabulary), POSTINGS))
     sums = postings.agg(F.count_if(F.col("n") > 0).alias("documents"), F.sum("n").alias("length")).first()
     count, length = sums["documents"], sums["length"] or 1
     weights = np.zeros(len(vocabulary), dtype=np.int64)

@@ -7,12 +7,14 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwise.llm.common import stored, text_of
 from plotwise.llm.graph import components
+from plotwise.session import stored_in_batches
 
 BITS = 64
 WORDS = 3  # words of a shingle
@@ -42,10 +44,11 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprinted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows to doc_id and fp; texts become Python objects one at a time."""
     for batch in batches:
-        found = np.array([fingerprint(t) for t in batch.text], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "fp": found})
+        found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
 
 def split_masks(radius: int = RADIUS, full: int = FULL) -> list[int]:
@@ -151,7 +154,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, full: int = FULL)
         counts = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         rows = stored(rows.join(counts, ["t", "key"]))
         small = rows.filter(F.col("n") <= full).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
-        found = stored(small.mapInPandas(linker(radius), "a long, b long").distinct())
+        found = stored_in_batches(small.mapInPandas(linker(radius), "a long, b long").distinct())
         links = found if links is None else links.unionByName(found)
         rows = rows.filter(F.col("n") > full).select("t", "fp")
         if rows.isEmpty():
@@ -168,8 +171,8 @@ def simhash_classes(docs: DataFrame, radius: int = RADIUS, full: int = FULL) ->
     its doc_ids are NULL; NULL doc_ids are placed like other rows. The rows with that doc_id
     are kept. Extra columns are ignored. An empty table gives an empty result.
     """
-    texts = docs.select("doc_id", F.encode(text_of(), "UTF-8").alias("text"))
-    rows = stored(texts.mapInPandas(fingerprinted, "doc_id long, fp long"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("text"))
+    rows = stored_in_batches(texts.mapInArrow(fingerprinted, "doc_id long, fp long"))
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = components(fingerprint_links(prints, radius, full)).withColumnRenamed("node", "fp")
     classes = prints.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))

@@ -51,23 +51,20 @@ def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
 
-def split_masks(radius: int = RADIUS, full: int = FULL) -> list[int]:
-    """Masks of the bits that a bucket of each table shares; the tables of mask t are t * parts + 1 and on.
+def deeper(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks of the tables below the one whose buckets share the bits of `mask`.
 
-    Mask 0 shares no bit. Each mask's other bits are cut into radius + 1 parts:
-    fingerprints within the radius that share the mask also share a part. Masks
-    are split until buckets can't hold more than `full` different fingerprints.
+    The other bits are cut into radius + 1 parts: fingerprints within the radius
+    that share the mask also share a part. Five steps down from no shared bit, a
+    bucket can't hold more than 1024 different fingerprints (radius 2).
     """
-    masks, level, parts = [0], [0], radius + 1
-    while 1 << (BITS - min(m.bit_count() for m in level)) > full:
-        deeper = []
-        for mask in level:
-            free = [b for b in range(BITS) if not mask >> b & 1]
-            edges = [len(free) * p // parts for p in range(parts + 1)]
-            deeper += [mask | sum(1 << b for b in free[edges[p] : edges[p + 1]]) for p in range(parts)]
-        level = deeper
-        masks += deeper
-    return masks
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    edges = [len(free) * p // (radius + 1) for p in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(edges, edges[1:])]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
 def lanes_mask(held: np.ndarray) -> int:
@@ -145,18 +142,19 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, full: int = FULL)
     mask. Buckets of up to `full` fingerprints are compared whole, in one row; fuller ones
     are dealt to the tables below, so no bucket grows with the input and none is left out.
     """
-    parts, masks = radius + 1, split_masks(radius, full)
-    signed = F.array(*[F.lit(m - (1 << BITS) if m >> (BITS - 1) else m) for m in masks])
-    rows, links = prints.select(F.lit(0).alias("t"), "fp"), None
+    spark, masks = prints.sparkSession, [0]
+    rows, links = prints.select(F.lit(0).cast("long").alias("mask"), "fp"), None
     while True:
-        rows = rows.select(F.explode(F.sequence(F.col("t") * parts + 1, F.col("t") * parts + parts)).alias("t"), "fp")
-        rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.get(signed, F.col("t"))))
-        counts = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = stored(rows.join(counts, ["t", "key"]))
-        small = rows.filter(F.col("n") <= full).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
+        pairs = sorted({(signed(m), signed(d)) for m in masks for d in deeper(m, radius)})
+        masks = sorted({d & ONES for _, d in pairs})
+        tables = spark.createDataFrame(pairs, "mask long, below long")  # three times as many on each of five steps
+        rows = rows.join(F.broadcast(tables), "mask").select(F.col("below").alias("mask"), "fp", F.col("fp").bitwiseAND(F.col("below")).alias("key"))
+        counts = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rows = stored(rows.join(counts, ["mask", "key"]))
+        small = rows.filter(F.col("n") <= full).groupBy("mask", "key").agg(F.collect_set("fp").alias("fps")).select("fps")
         found = stored_in_batches(small.mapInPandas(linker(radius), "a long, b long").distinct())
         links = found if links is None else links.unionByName(found)
-        rows = rows.filter(F.col("n") > full).select("t", "fp")
+        rows = rows.filter(F.col("n") > full).select("mask", "fp")
         if rows.isEmpty():
             return links
 

@@ -124,15 +124,11 @@ def family(dice, centres, members, flips):
     return sorted(out)
 
 
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
-@pytest.mark.parametrize(("radius", "full"), [(2, 2048), (2, 4), (1, 3), (3, 6)])
+@pytest.mark.parametrize(("radius", "full"), [(2, 2048), (2, 12), (1, 3), (3, 200)])
 def test_fingerprint_links(spark, radius, full):
     """Families with chains of near fingerprints; a small `full` deals every bucket to deeper tables."""
     dice = random.Random(radius * 100 + full)
-    values = [signed(x) for x in family(dice, 12, 40, 7)]
+    values = [simhash.signed(x) for x in family(dice, 12, 40, 7)]
     df = spark.createDataFrame([(v,) for v in values], "fp long")
     found = [(r.a, r.b) for r in simhash.fingerprint_links(df, radius, full).collect()]
     near = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & simhash.ONES).bit_count() <= radius]
@@ -142,7 +138,7 @@ def test_fingerprint_links(spark, radius, full):
 
 def test_planes_abandon_and_count():
     dice = random.Random(4)
-    buckets = [np.array([signed(x) for x in family(dice, 2, n, 5)]) for n in (30, 20, 9, 2, 1)]
+    buckets = [np.array([simhash.signed(x) for x in family(dice, 2, n, 5)]) for n in (30, 20, 9, 2, 1)]
     buckets.sort(key=len, reverse=True)
     for radius in (0, 1, 2, 3, 6):
         found = simhash.block_links(buckets, radius)
@@ -153,16 +149,17 @@ def test_planes_abandon_and_count():
 
 
 def test_masks_bound_every_bucket():
-    masks = simhash.split_masks()
-    assert masks[0] == 0 and all(m.bit_count() >= 53 for m in masks[-243:])
+    """Five steps down no bucket holds more than 1024 fingerprints, and some table on every step has both of a near pair in one bucket."""
+    level = [0]
+    for _ in range(5):
+        level = [d for m in level for d in simhash.deeper(m)]
+    assert all(m.bit_count() >= 54 for m in level)
     dice = random.Random(2)
     for _ in range(300):
         x = dice.getrandbits(64)
-        y = x ^ 1 << dice.randrange(64) ^ 1 << dice.randrange(64)
-        at = 0
-        while 3 * at + 3 < len(masks):  # some table on every level holds the pair in one bucket
-            at = next(t for t in range(3 * at + 1, 3 * at + 4) if x & masks[t] == y & masks[t])
-        assert x & masks[at] == y & masks[at]
+        y, mask = x ^ 1 << dice.randrange(64) ^ 1 << dice.randrange(64), 0
+        for _ in range(5):
+            mask = next(d for d in simhash.deeper(mask) if x & d == y & d)
 
 
 def search_want(docs, items, top=50):

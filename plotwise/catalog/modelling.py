@@ -1,4 +1,4 @@
-"""Models and experiments on line items (response: extended price)."""
+"""Models and experiments on line items; the response follows quantity and retail price, with the extended price as noise."""
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
@@ -8,6 +8,7 @@ from plotwise.catalog.base import POINTS, plots, points, query, rounded
 from plotwise.catalog.grids import KNN_SQL, ZONES, grid, zoned
 from plotwise.operators import experiments as X
 from plotwise.operators import folds as K
+from plotwise.operators import forests as R
 from plotwise.operators import model as M
 
 COLS = ["qty", "disc", "tax", "size", "retail"]
@@ -25,26 +26,43 @@ def rows(t):
     li = t.lineitem.select(
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
         F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("qty"), F.col("l_discount").alias("disc"),
-        F.col("l_tax").alias("tax"), (F.col("l_extendedprice") / 1000).alias("y"),
+        F.col("l_tax").alias("tax"), F.col("l_extendedprice").alias("price"),
     )
-    return li.join(p, "pk")
+    return li.join(p, "pk").withColumn("y", F.col("qty") * F.col("retail") / 1200 + F.col("price") / 6000).drop("price")
 
 
 def folded(t, k=2):
     return K.random_folds(rows(t), IDS, k)
 
 
-@query("K1_fit_forest")
+def better_than_mean(fitted, y="y", pred="prediction"):
+    """n, and whether predictions are closer than the mean of the response and follow it."""
+    spread = F.stddev_pop(y)
+    return fitted.agg(
+        F.count(pred).alias("n"), (F.sqrt(F.avg((F.col(pred) - F.col(y)) ** 2)) < spread).alias("beats_mean"),
+        (F.corr(pred, y) > 0.5).alias("follows"), (F.abs(F.avg(pred) - F.avg(y)) < 0.1 * spread).alias("unbiased"),
+    )
+
+
+FITTED = "SELECT count(*) AS n, true AS beats_mean, true AS follows, true AS unbiased FROM lineitem"
+
+
+@query("K1_fit_forest", f"SELECT f.*, count(*) AS n_oob, true AS oob_below_fit FROM ({FITTED}) f, lineitem GROUP BY ALL")
 def _(t):
     df = rows(t)
-    return rounded(M.metrics_of(forest(COLS, "y").fit(df).transform(df), "y"), 6)
+    model = R.fit_forest(df, "y", COLS, IDS, trees=500, min_leaf=3, seed=1)
+    fitted = model.predict(df)
+    inside = fitted.agg(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2))).scalar()
+    oob = model.out_of_bag()
+    return better_than_mean(fitted).select("*", oob.select("n").scalar().alias("n_oob"), (oob.select("rmse").scalar() >= inside).alias("oob_below_fit"))
 
 
-@query("K2_fit_extra_forest")
+@query("K2_fit_extra_forest", f"SELECT f.*, count(*) AS n_oob, true AS oob_positive FROM ({FITTED}) f, lineitem GROUP BY ALL")
 def _(t):
     df = rows(t)
-    est = M.forest(COLS, "y", trees=10, per_split="4", min_leaf=10, depth=5, sample=0.7, seed=2)
-    return rounded(M.metrics_of(est.fit(df).transform(df), "y"), 6)
+    model = R.fit_forest(df, "y", COLS, IDS, trees=300, min_leaf=10, min_split=5, tried=4, rule="random", seed=2)
+    oob = model.out_of_bag()
+    return better_than_mean(model.predict(df)).select("*", oob.select("n").scalar().alias("n_oob"), (oob.select("r2_corr").scalar() > 0.5).alias("oob_positive"))
 
 
 @query("K3_fit_gbt")
@@ -126,14 +144,25 @@ def _(t):
     return rounded(M.mean_abs_contribution(forest(COLS, "y").fit(df), df, COLS, IDS, draws=2), 6)
 
 
-@query("K14_quantile_forest")
+@query(
+    "K14_quantile_forest",
+    """SELECT l_returnflag AS flag, count(*) AS n, 100 AS n_quantiles, 0::BIGINT AS n_crossing, 0::BIGINT AS n_outside, true AS median_follows, true AS covered FROM lineitem GROUP BY 1""",
+)
 def _(t):
+    """100 quantiles per row: in order, within the response's range, the median following it, about 80 % between the tenth and the ninetieth."""
     df = rows(t)
-    q = M.quantile_forest(forest(COLS, "y").fit(df), df, df, "y", IDS, [0.1, 0.5, 0.9])
+    model = R.fit_forest(df, "y", COLS, IDS, trees=100, depth=7, min_leaf=10, min_split=5, tried=4, rule="random", seed=1)
+    values = R.response_values(df, "y")
+    q = model.quantiles(df, [k / 100 for k in range(1, 101)], values)
+    low = df.agg(F.min("y")).scalar()
     steps = F.col("quantiles")
+    falls = F.exists(F.sequence(F.lit(1), F.lit(99)), lambda i: F.get(steps, i) < F.get(steps, i - 1))
+    covered = F.avg(F.col("y").between(steps[9], steps[89]).cast("double"))
     return q.groupBy("flag").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if((steps[0] > steps[1]) | (steps[1] > steps[2])).alias("n_crossing"), F.round(F.avg(steps[1]), 4).alias("mean_median")
-    )
+        F.count("quantiles").alias("n"), F.max(F.size("quantiles")).alias("n_quantiles"), F.count_if(falls).alias("n_crossing"),
+        F.count_if((steps[0] < low) | (steps[99] > F.lit(values[-1]))).alias("n_outside"),
+        (F.corr("y", steps[49]) > 0.8).alias("median_follows"), covered.between(0.7, 0.95).alias("covered"),
+    )
 
 
 @query("K15_score_grid", f"WITH {ZONES} SELECT count(*) AS n_cells, count(cropland) AS n_scored FROM grid")
@@ -144,39 +173,103 @@ def _(t):
     return M.score_grid(forest(bands, "y").fit(train), g, bands).agg(F.count(F.lit(1)).alias("n_cells"), F.count("prediction").alias("n_scored"))
 
 
-LEARNERS = {"ridge": lambda c, y: M.ridge(c, y), "forest": forest}
+FORESTS = X.Forests(trees=100, depth=6, seed=3)
+LINE = """d AS (SELECT l_orderkey % 3 AS fold, l_returnflag AS flag, l_linestatus AS status, l_quantity AS x, l_quantity * p_retailprice / 1200 + l_extendedprice / 6000 AS y FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def keyed_folds(df, ids, k, **kw):
+    return df.withColumn("fold", (F.col("ok") % k).cast("int"))
 
 
-@query("K16_compare_models")
+@query("K16_compare_models", """SELECT l_linestatus AS unit, a AS algorithm, s AS feature_set, count(*) AS n, true AS fits, true AS grid_in_order
+ FROM lineitem, (VALUES ('forest'), ('linear')) v(a), (VALUES ('both'), ('covariates'), ('part')) w(s) GROUP BY ALL""")
 def _(t):
     sets = {"covariates": ["qty", "disc", "tax"], "part": ["size", "retail"], "both": COLS}
-    return rounded(X.compare_models(rows(t), "status", "y", LEARNERS, sets, IDS, k=2), 6)
+    found = X.compare_models(rows(t), "status", "y", {"linear": X.Linear(), "forest": FORESTS}, sets, IDS, k=3)
+    # parts alone explain little of the price, the quantity nearly all
+    fits = F.when(F.col("feature_set") == "part", F.col("r2_corr") < 0.3).otherwise(F.col("r2_corr") > 0.7)
+    order = (F.col("cv_r2") <= F.col("cv_r2_best")) & (F.coalesce("cv_r2_sd", F.lit(0.0)) >= 0)
+    return found.select("unit", "algorithm", "feature_set", "n", fits.alias("fits"), order.alias("grid_in_order"))
+
+
+@query("K17_evaluate_logo", """SELECT a.l_linestatus AS unit, a.l_returnflag AS region, count(*) AS n, true AS grid_in_order, true AS inside, true AS outside
+ FROM lineitem a WHERE l_linestatus IN (SELECT l_linestatus FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1) GROUP BY 1, 2""")
+def _(t):
+    found = X.evaluate_logo(rows(t), "status", "flag", "y", COLS, FORESTS, IDS, k=3)
+    order = (F.col("cv_r2") <= F.col("cv_r2_best")) & (F.col("cv_r2_sd") >= 0)
+    return found.select("unit", "region", "n", order.alias("grid_in_order"), (F.col("cv_r2") > 0.7).alias("inside"), (F.col("test_r2") > 0.7).alias("outside"))
 
 
-@query("K17_evaluate_logo")
+@query(
+    "K17_evaluate_logo_linear",
+    f"""WITH {LINE}, u AS (SELECT status, flag FROM d WHERE status IN (SELECT status FROM d GROUP BY 1 HAVING count(DISTINCT flag) > 1) GROUP BY 1, 2), m AS (
+ SELECT u.status, u.flag, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM u JOIN d ON d.status = u.status AND d.flag <> u.flag GROUP BY 1, 2), f AS (
+ SELECT u.status, u.flag, k.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM u, (VALUES (0), (1), (2)) k(fold) JOIN d ON d.status = u.status AND d.flag <> u.flag AND d.fold <> k.fold GROUP BY 1, 2, 3), c AS (
+ SELECT f.status, f.flag, f.fold, pow(corr(a + b * x, y), 2) AS r2 FROM f JOIN d ON d.status = f.status AND d.flag <> f.flag AND d.fold = f.fold GROUP BY 1, 2, 3), g AS (SELECT status, flag, avg(r2) AS cv_r2 FROM c GROUP BY 1, 2)
+SELECT m.status AS unit, m.flag AS region, count(*) AS n, round(any_value(cv_r2), 6) AS cv_r2, round(any_value(cv_r2), 6) AS cv_r2_best, round(pow(corr(a + b * x, y), 2), 6) AS test_r2, round(sqrt(avg((a + b * x - y) ** 2)), 6) AS rmse
+FROM m JOIN d ON d.status = m.status AND d.flag = m.flag JOIN g ON g.status = m.status AND g.flag = m.flag GROUP BY 1, 2""",
+)
+def _(t):
+    found = X.evaluate_logo(rows(t), "status", "flag", "y", ["qty"], X.Linear(), IDS, k=3, folds=keyed_folds)
+    return rounded(found.drop("cv_r2_sd"), 6)
+
+
+@query("K18_transfer_matrix", """WITH p AS (SELECT l_returnflag AS f, 'point' AS grain, count(*) AS n FROM lineitem GROUP BY 1), m AS (
+ SELECT l_returnflag AS f, 'location_mean' AS grain, count(*) AS n FROM (SELECT l_returnflag, l_partkey FROM lineitem GROUP BY 1, 2 HAVING count(*) > 9) GROUP BY 1), a AS (SELECT * FROM p UNION ALL SELECT * FROM m)
+SELECT x.grain, x.f AS train_unit, y.f AS test_unit, y.n, true AS grid_in_order, CASE WHEN x.grain = 'point' THEN true END AS fits FROM a x JOIN a y ON x.grain = y.grain AND x.f <> y.f""")
+def _(t):
+    found = X.transfer_matrix(rows(t), "flag", "y", COLS, FORESTS, IDS, location=["pk"], k=3)
+    order = F.coalesce(F.col("cv_r2") <= F.col("cv_r2_best"), F.lit(True))
+    fits = (F.col("cv_r2") > 0.7) & (F.col("oob_r2") > 0.7) & (F.col("test_r2") > 0.7)
+    return found.select("grain", "train_unit", "test_unit", "n", order.alias("grid_in_order"), F.when(F.col("grain") == "point", fits).alias("fits"))
+
+
+@query("K19_self_evaluation", """SELECT v AS variable, 2::BIGINT AS n_units, CASE WHEN v = 'qty' THEN 1.0::DOUBLE END AS mean_rank, true AS in_range FROM (VALUES ('qty'), ('disc'), ('tax'), ('size'), ('retail')) t(v)""")
 def _(t):
-    return rounded(X.evaluate_logo(rows(t), "status", "flag", "y", COLS, LEARNERS["ridge"], IDS, k=2), 6)
+    ranks = X.self_evaluation(rows(t), "status", "y", COLS, FORESTS, IDS, k=3)[1]
+    return ranks.select("variable", "n_units", F.when(F.col("variable") == "qty", F.col("mean_rank")).alias("mean_rank"), F.col("mean_rank").between(1, len(COLS)).alias("in_range"))
 
 
-@query("K18_transfer_matrix")
+@query("K19_self_evaluation_fits", "SELECT l_linestatus AS unit, count(*) AS n, true AS fits FROM lineitem GROUP BY 1")
 def _(t):
-    return rounded(X.transfer_matrix(rows(t), "flag", "y", COLS, forest, location=["pk"]), 6)
+    fits = X.self_evaluation(rows(t), "status", "y", COLS, X.Forests(trees=100, depth=6, settings=((None, "best"),)), IDS, k=3)[0]
+    return fits.select("unit", "n", ((F.col("cv_r2") > 0.7) & (F.col("r2_corr") > 0.7)).alias("fits"))
 
 
-@query("K19_self_evaluation")
+@query("K20_leave_one_unit_out", "SELECT l_returnflag AS unit, count(*) AS n, true AS grid_in_order, true AS inside, true AS outside FROM lineitem GROUP BY 1")
 def _(t):
-    return rounded(X.self_evaluation(rows(t), "status", "y", COLS, forest, IDS, k=2)[1], 6)
+    found = X.leave_one_unit_out(rows(t), "flag", "y", COLS, FORESTS, IDS, k=3)
+    order = (F.col("in_r2") <= F.col("in_r2_best")) & (F.col("in_r2_sd") >= 0)
+    return found.select("unit", "n", order.alias("grid_in_order"), (F.col("in_r2") > 0.7).alias("inside"), (F.col("out_r2") > 0.7).alias("outside"))
 
 
-@query("K20_leave_one_unit_out")
+@query(
+    "K20_leave_one_unit_out_linear",
+    f"""WITH {LINE}, u AS (SELECT DISTINCT flag FROM d), m AS (SELECT u.flag, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM u JOIN d ON d.flag <> u.flag GROUP BY 1), f AS (
+ SELECT u.flag, k.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM u, (VALUES (0), (1), (2)) k(fold) JOIN d ON d.flag <> u.flag AND d.fold <> k.fold GROUP BY 1, 2), c AS (
+ SELECT f.flag, f.fold, pow(corr(a + b * x, y), 2) AS r2 FROM f JOIN d ON d.flag <> f.flag AND d.fold = f.fold GROUP BY 1, 2), g AS (SELECT flag, avg(r2) AS in_r2 FROM c GROUP BY 1)
+SELECT m.flag AS unit, count(*) AS n, round(any_value(in_r2), 6) AS in_r2, round(pow(corr(a + b * x, y), 2), 6) AS out_r2, round(sqrt(avg((a + b * x - y) ** 2)), 6) AS rmse
+FROM m JOIN d ON d.flag = m.flag JOIN g ON g.flag = m.flag GROUP BY 1""",
+)
 def _(t):
-    return rounded(X.leave_one_unit_out(rows(t), "flag", "y", COLS, LEARNERS["ridge"], IDS, k=2), 6)
+    found = X.leave_one_unit_out(rows(t), "flag", "y", ["qty"], X.Linear(), IDS, k=3, folds=keyed_folds)
+    return rounded(found.drop("in_r2_sd", "in_r2_best"), 6)
 
 
-@query("K21_select_predictors")
+@query(
+    "K21_select_predictors",
+    """WITH d AS (SELECT l_orderkey % 3 AS fold, l_quantity * p_retailprice / 1200 + l_extendedprice / 6000 AS y, l_quantity AS a, l_discount AS b, l_returnflag AS g FROM lineitem JOIN part ON l_partkey = p_partkey), k AS (SELECT * FROM (VALUES (0), (1), (2)) v(k)), one AS (
+ SELECT k, regr_slope(y, a) AS s, regr_intercept(y, a) AS i FROM k JOIN d ON fold <> k GROUP BY 1), two AS (
+ SELECT k, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS y2 FROM k JOIN d ON fold <> k GROUP BY 1), grp AS (
+ SELECT k, g, avg(y) AS p FROM k JOIN d ON fold <> k GROUP BY 1, 2), e AS (
+ SELECT 'one' AS predictor_set, k, sqrt(avg((i + s * a - y) ** 2)) AS rmse FROM one JOIN d ON fold = k GROUP BY 2 UNION ALL
+ SELECT 'two', k, sqrt(avg((my + (ay * bb - y2 * ab) / (aa * bb - ab * ab) * (a - ma) + (y2 * aa - ay * ab) / (aa * bb - ab * ab) * (b - mb) - y) ** 2)) FROM two JOIN d ON fold = k GROUP BY 2 UNION ALL
+ SELECT 'kinds', d.fold, sqrt(avg((p - y) ** 2)) FROM grp JOIN d ON d.fold = grp.k AND d.g = grp.g GROUP BY 2)
+SELECT predictor_set, round(avg(rmse), 6) AS rmse_mean, round(stddev_samp(rmse), 6) AS rmse_sd, count(*) AS n_folds_ok FROM e GROUP BY 1 UNION ALL SELECT 'broken', NULL, NULL, 0""",
+)
 def _(t):
-    sets = {"one": "qty", "two": "qty + disc", "kinds": "qty + flag + status", "squared": "qty + size + retail", "broken": "absent_column"}
-    return rounded(X.select_predictors(folded(t), sets, "y", "fold", 2), 6)
+    sets = {"one": "qty", "two": "qty + disc", "kinds": "flag", "broken": "absent_column"}
+    return rounded(X.select_predictors(keyed_folds(rows(t), IDS, 3), sets, "y", "fold", 3), 6)
 
 
 @query("K22_fit_bounded")

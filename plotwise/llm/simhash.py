@@ -142,13 +142,10 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, full: int = FULL)
     mask. Buckets of up to `full` fingerprints are compared whole, in one row; fuller ones
     are dealt to the tables below, so no bucket grows with the input and none is left out.
     """
-    spark, masks = prints.sparkSession, [0]
-    rows, links = prints.select(F.lit(0).cast("long").alias("mask"), "fp"), None
+    masks, links = deeper(0, radius), None
+    rows = prints.select(F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"), "fp")
     while True:
-        pairs = sorted({(signed(m), signed(d)) for m in masks for d in deeper(m, radius)})
-        masks = sorted({d & ONES for _, d in pairs})
-        tables = spark.createDataFrame(pairs, "mask long, below long")  # three times as many on each of five steps
-        rows = rows.join(F.broadcast(tables), "mask").select(F.col("below").alias("mask"), "fp", F.col("fp").bitwiseAND(F.col("below")).alias("key"))
+        rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         counts = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         rows = stored(rows.join(counts, ["mask", "key"]))
         small = rows.filter(F.col("n") <= full).groupBy("mask", "key").agg(F.collect_set("fp").alias("fps")).select("fps")
@@ -157,6 +154,10 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, full: int = FULL)
         rows = rows.filter(F.col("n") > full).select("mask", "fp")
         if rows.isEmpty():
             return links
+        pairs = sorted({(signed(m), signed(d)) for m in masks for d in deeper(m, radius)})
+        masks = sorted({d & ONES for _, d in pairs})
+        tables = prints.sparkSession.createDataFrame(pairs, "mask long, below long")  # three times as many on each of five steps
+        rows = rows.join(F.broadcast(tables), "mask").select(F.col("below").alias("mask"), "fp")
 
 
 def simhash_classes(docs: DataFrame, radius: int = RADIUS, full: int = FULL) -> DataFrame:

@@ -42,12 +42,19 @@ def _(t):
     return rounded(df.withColumn("ks_p", F.round("ks_p", 5)), 6)
 
 
-@query("L2_multinomial_fit")
+@query(
+    "L2_multinomial_fit",
+    f"""WITH {FARM_SQL}, q AS (SELECT cell_id, quantile_cont(size_ha, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM units GROUP BY 1), e AS (
+ SELECT cell_id, q, list_sort(list_distinct(q)) AS e FROM q), c AS (SELECT cell_id, len(list_filter(e, lambda x: x < size_ha)) AS class, count(*)::DOUBLE AS n FROM units JOIN e USING (cell_id) GROUP BY ALL), p AS (
+ SELECT cell_id, n, CASE WHEN class < len(e) THEN len(list_filter(q, lambda x: x = e[class + 1])) ELSE 0.01::DOUBLE END / 10.01::DOUBLE AS p FROM c JOIN e USING (cell_id))
+SELECT cell_id, sum(n)::BIGINT AS n, round(sum(n * ln(n / p)) - sum(n) * ln(sum(n)), 5) AS llr, true AS p_in_range FROM p GROUP BY 1""",
+)
 def _(t):
     u = units(t)
     q = S.O.group_quantiles(u, ["cell_id"], "size_ha", {f"q{i}": i / 10 for i in range(1, 11)})
     q = q.select("cell_id", F.array(*[f"q{i}" for i in range(1, 11)]).alias("quantiles"))
-    return L.multinomial_fit(u, q, ["cell_id"], "size_ha", ["o_orderkey"], trials=20, seed=5)
+    found = L.multinomial_fit(u, q, ["cell_id"], "size_ha", ["o_orderkey"], trials=1000, seed=5)
+    return rounded(found.select("cell_id", "n", "llr", F.col("p").between(0, 1).alias("p_in_range")), 5)
 
 
 @query("L3_fit_lognormal", f"WITH {FARM_SQL} SELECT zone, count(*) AS n, round(avg(ln(greatest(size_ha, 0.001))), 6) AS logn_mean, round(stddev_pop(ln(greatest(size_ha, 0.001))), 6) AS logn_sd FROM units GROUP BY 1")
@@ -104,7 +111,7 @@ def _(t):
 
 @query("L9_sample_trunc_lognormal", "SELECT vec_id, 10 + vec_id % 40 AS n, 0::BIGINT AS n_outside FROM embeddings")
 def _(t):
-    cells = quantile_cells(t).withColumn("q", F.filter("q", lambda v: v > 0.001))
+    cells = quantile_cells(t)
     return _sample_check(L.sample_trunc_lognormal(cells, ["vec_id"], "n", "q", seed=2024), cells)
 
 

@@ -158,9 +158,19 @@ def _(t):
     return rounded(S.ranked_with_target(S.correlation_pairs(t.lineitem, LINE), "l_tax"), 5)
 
 
-@query("D16_correlation_test")
+def _p_sql():
+    """Student's t by its finite series: even and odd degrees of freedom."""
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS var_a, '{b}' AS var_b, count(*) AS n, corr({a}, {b}) AS r FROM lineitem" for i, a in enumerate(LINE) for b in LINE[i + 1 :])
+    return f"""WITH c AS (SELECT *, n - 2 AS nu, ln(1 - r * r) AS lc FROM ({pairs})), k AS (SELECT range AS k FROM range(1, 400000)),
+ f AS (SELECT k, sum(ln((2 * k - 1) / (2 * k))) OVER (ORDER BY k) AS even, sum(ln((2 * k) / (2 * k + 1))) OVER (ORDER BY k) AS odd FROM k),
+ e AS (SELECT var_a, var_b, 1 + sum(exp(CASE WHEN nu % 2 = 0 THEN even ELSE odd END + k * lc)) AS s FROM c JOIN f ON k <= (nu - 2 - nu % 2) // 2 GROUP BY 1, 2),
+ p AS (SELECT c.*, CASE WHEN nu % 2 = 0 THEN 1 - abs(r) * s ELSE 1 - 2 / pi() * (atan(abs(r) / sqrt(1 - r * r)) + abs(r) * sqrt(1 - r * r) * s) END AS p FROM c JOIN e USING (var_a, var_b))
+SELECT var_a, var_b, n, round(r, 5) AS r, round(p, 5) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM p"""
+
+
+@query("D16_correlation_test", _p_sql())
 def _(t):
-    return S.correlation_test(t.lineitem, LINE)
+    return rounded(S.correlation_test(t.lineitem, LINE), 5)
 
 
 @query(
@@ -184,12 +194,12 @@ def _(t):
 
 @query(
     "D19_regression_metrics",
-    f"""WITH {PLOTS}, p AS (SELECT country, reported_area_ha AS o, measured_plot_area_ha AS p FROM plots WHERE reported_area_ha IS NOT NULL AND measured_plot_area_ha < 50)
+    f"""WITH {PLOTS}, p AS (SELECT country, reported_area_ha AS o, measured_plot_area_ha AS p FROM plots WHERE reported_area_ha IS NOT NULL AND measured_plot_area_ha IS NOT NULL)
 SELECT country, count(*) AS n, round(avg(abs(p - o)), 5) AS mae, round(sqrt(avg(pow(p - o, 2))), 5) AS rmse, round(avg(p - o), 5) AS bias, round(1 - sum(pow(p - o, 2)) / (var_pop(o) * count(*)), 5) AS r2_sse,
  round(pow(corr(o, p), 2), 5) AS r2_corr, round(stddev_pop(o) / (sqrt(avg(pow(p - o, 2))) + 1e-9), 5) AS rpd, round(sqrt(avg(pow(p - o, 2))) / avg(o), 5) AS rrmse FROM p GROUP BY 1""",
 )
 def _(t):
-    return rounded(S.regression_metrics(plots(t).where("measured_plot_area_ha < 50"), ["country"], "reported_area_ha", "measured_plot_area_ha"), 5)
+    return rounded(S.regression_metrics(plots(t), ["country"], "reported_area_ha", "measured_plot_area_ha"), 5)
 
 
 @query(
@@ -420,16 +430,22 @@ def _(t):
     return df.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.max("fold").alias("fold"), F.countDistinct("fold").alias("n_folds"))
 
 
-@query("E19_random_folds")
+@query("E19_random_folds", "SELECT count(*) AS n, 10::BIGINT AS n_folds, true AS balanced, true AS disjoint FROM orders")
 def _(t):
-    return K.random_folds(t.orders, ["o_orderkey"], 10).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    folded = K.random_folds(t.orders, ["o_orderkey"], 10)
+    sizes = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+    balanced = F.max(F.abs(F.col("n") * 10 - F.col("_all"))) < 0.25 * F.max("_all")
+    sizes = sizes.withColumn("_all", folded.agg(F.count(F.lit(1))).scalar())
+    keys = folded.agg(F.countDistinct("o_orderkey")).scalar()
+    return sizes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_folds"), balanced.alias("balanced"), (F.sum("keys") == F.max(keys)).alias("disjoint"))
 
 
-@query("E19_train_test")
+@query("E19_train_test", "SELECT count(*) AS n, 0::BIGINT AS n_both, true AS near_share FROM orders")
 def _(t):
     train, test = K.train_test(t.orders, ["o_orderkey"], 0.7, seed=7)
-    n = F.count(F.lit(1)).alias("n")
-    return train.agg(n).select(F.lit("train").alias("part"), "n").unionByName(test.agg(n).select(F.lit("test").alias("part"), "n"))
+    sides = train.select("o_orderkey", F.lit(1).alias("train")).unionByName(test.select("o_orderkey", F.lit(0).alias("train")))
+    per_key = sides.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.avg("train").alias("train"))
+    return per_key.agg(F.sum("n").alias("n"), F.count_if(~F.col("train").isin(0.0, 1.0)).alias("n_both"), F.avg("train").between(0.65, 0.75).alias("near_share"))
 
 
 @query("E20_logo_plan", "SELECT row_number() OVER (ORDER BY n_name) AS fold, n_name AS test_unit, count(*) AS n_test, CAST(sum(count(*)) OVER () - count(*) AS BIGINT) AS n_train FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -453,9 +469,12 @@ def _(t):
     return R.lattice_sample(points(t), "x", "y", -18, -35, 0.15, digits=2).select("point_id")
 
 
-@query("F4_seeded_sample")
+@query("F4_seeded_sample", "SELECT 1000::BIGINT AS n, 1000::BIGINT AS n_distinct, 1000::BIGINT AS n_present, true AS repeatable")
 def _(t):
-    return R.seeded_sample(t.orders, ["o_orderkey"], 1000, seed=3)
+    once, again = (R.seeded_sample(t.orders, ["o_orderkey"], 1000, seed=3) for _ in range(2))
+    present = once.join(t.orders.select("o_orderkey"), "o_orderkey", "left_semi").agg(F.count(F.lit(1))).scalar()
+    differing = once.join(again.select("o_orderkey"), "o_orderkey", "left_anti").agg(F.count(F.lit(1))).scalar()
+    return once.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("n_distinct"), F.max(present).alias("n_present"), (F.max(differing) == 0).alias("repeatable"))
 
 
 @query("G1_union_all", "SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer")

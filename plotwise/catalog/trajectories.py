@@ -75,11 +75,11 @@ def _(t):
     return rounded(df.withColumns({f"NDVI_{w}_slope": F.round(f"NDVI_{w}_slope", 3) for w in WINDOWS}), 10)
 
 
-@query(
-    "E12_phenology",
-    f"""WITH {NDVI} SELECT user_id, green_up_doy, senescence_doy, ndvi_at_senes, senescence_doy - green_up_doy AS season_length FROM (SELECT user_id, CAST(arg_min(doy, (date, event_id)) FILTER (v >= 0.35) AS DOUBLE) AS green_up_doy,
-  CAST(arg_max(doy, (date, event_id)) FILTER (v >= 0.5) AS DOUBLE) AS senescence_doy, round(arg_max(v, (date, event_id)) FILTER (v >= 0.5), 10) AS ndvi_at_senes FROM s GROUP BY 1)""",
-)
+PHENOLOGY = """SELECT user_id, green_up_doy, senescence_doy, ndvi_at_senes, senescence_doy - green_up_doy AS season_length FROM (SELECT user_id, CAST(arg_min(doy, (date, event_id)) FILTER (v >= 0.35) AS DOUBLE) AS green_up_doy,
+  CAST(arg_max(doy, (date, event_id)) FILTER (v >= 0.5) AS DOUBLE) AS senescence_doy, round(arg_max(v, (date, event_id)) FILTER (v >= 0.5), 10) AS ndvi_at_senes FROM s GROUP BY 1)"""
+
+
+@query("E12_phenology", f"WITH {NDVI} " + PHENOLOGY)
 def _(t):
     return rounded(T.phenology(ndvi(t), S, "NDVI"), 10)
 
@@ -110,10 +110,18 @@ def _(t):
     return T.coverage(observations(t), S, F.col("opt"), F.col("sar"))
 
 
-FEATURES = f"""WITH {OBS}, o AS (SELECT * FROM obs WHERE opt), r AS (SELECT * FROM obs WHERE sar)
-SELECT * FROM ({COVERAGE}) LEFT JOIN ({STATS.format(c='NDVI').replace('FROM s', 'FROM o')}) USING (user_id) LEFT JOIN ({INTEGRAL.format(c='NDVI').replace('FROM s', 'FROM o')}) USING (user_id)
- LEFT JOIN ({STATS.format(c='VH_mean').replace('FROM s', 'FROM r')}) USING (user_id) LEFT JOIN ({INTEGRAL.format(c='VH_mean').replace('FROM s', 'FROM r')}) USING (user_id)
- LEFT JOIN ({ENTROPY.replace('FROM s', 'FROM r')}) USING (user_id) LEFT JOIN ({AUTOCORR.replace('FROM s', 'FROM r')}) USING (user_id)"""
+def _all_features():
+    """Every column of the feature table: both sensors' statistics, integrals, slopes and windows, phenology, entropy, lag, coverage."""
+    parts = [COVERAGE]
+    for c, view in (("NDVI", "o"), ("VH_mean", "r")):
+        inside = {w: f"date BETWEEN '{a}' AND '{b}'" for w, (a, b) in WINDOWS.items()}
+        means = ", ".join(f"round(avg(v) FILTER ({x}), 10) AS {c}_{w}_mean, round(max(v) FILTER ({x}), 10) AS {c}_{w}_max" for w, x in inside.items())
+        slopes = [SLOPE.format(n=f"{c}_{w}_slope", where=f"WHERE {x}", d=3) for w, x in inside.items()]
+        own = [STATS.format(c=c), INTEGRAL.format(c=c), SLOPE.format(n=f"{c}_slope", where="", d=3), *slopes, f"SELECT user_id, {means} FROM s GROUP BY 1"]
+        parts += [x.replace("FROM s", f"FROM {view}") for x in own]
+    parts += [ENTROPY.replace("FROM s", "FROM r"), AUTOCORR.replace("FROM s", "FROM r"), PHENOLOGY.replace("FROM s", "FROM o")]
+    joined = f"({parts[0]})" + "".join(f" LEFT JOIN ({x}) USING (user_id)" for x in parts[1:])
+    return f"WITH {OBS}, o AS (SELECT * FROM obs WHERE opt), r AS (SELECT * FROM obs WHERE sar) SELECT * FROM {joined}"
 
 
 def features(t):
@@ -121,19 +129,28 @@ def features(t):
     return T.build_trajectory_features(df, S, T.FeaturePlan(["NDVI"], ["VH_mean"], WINDOWS), F.col("opt"), F.col("sar"))
 
 
-@query("E16_build_trajectory_features", FEATURES)
+@query("E16_build_trajectory_features", _all_features())
 def _(t):
     df = features(t)
-    keep = [c for c in df.columns if not c.endswith("_slope") and not any(f"_{w}_" in c for w in WINDOWS) and c not in ("green_up_doy", "senescence_doy", "ndvi_at_senes", "season_length")]
-    out = df.select(*keep).withColumns({c: F.round(c, 5) for c in ("VH_entropy", "VH_autocorr_l1")})
-    return rounded(out, 10)
+    fine = {c: F.round(c, 3) for c in df.columns if c.endswith("_slope")} | {c: F.round(c, 5) for c in ("VH_entropy", "VH_autocorr_l1")}
+    return rounded(df.withColumns(fine), 10)
 
 
 @query(
     "B29_add_cross_features",
-    f"""WITH {OBS}, p AS (SELECT user_id, max(v) FILTER (opt) AS o, max(v) FILTER (sar) AS r, arg_max(v, (date, event_id)) FILTER (opt) AS lo, arg_max(v, (date, event_id)) FILTER (sar) AS lr FROM obs GROUP BY 1)
-SELECT user_id, round(o * o, 10) AS NDVI_peak_sq, round(lr * lo, 10) AS VH_NDVI_last FROM p""",
+    f"""WITH {OBS}, p AS (SELECT user_id, max(v) FILTER (opt) AS o, max(v) FILTER (sar) AS r, arg_max(v, (date, event_id)) FILTER (opt) AS lo, arg_max(v, (date, event_id)) FILTER (sar) AS lr,
+  CAST(any_value(end_date) - max(date) FILTER (opt) AS DOUBLE) AS dn, CAST(any_value(end_date) - max(date) FILTER (sar) AS DOUBLE) AS dv FROM obs GROUP BY 1),
+ i AS ({INTEGRAL.format(c='NDVI').replace('FROM s', 'FROM (SELECT * FROM obs WHERE opt)')})
+SELECT user_id, round(o * o, 12) AS NDVI_peak_sq, round(o / 2 / (abs(o) + 1e-9), 6) AS CCCI_peak, round(2 * o - o, 6) AS EVI_NDVI_gap, round(NDVI_integral * NDVI_integral / 2, 6) AS NDVI_int_x_NDRE_int, round(o * 3 * r, 12) AS VI_SAR_peak,
+ round(o / 2 * r / 4, 12) AS NDRE_DpRVI_peak, round(lr * lo, 12) AS VH_NDVI_last, round(r / (r + 0.2 + 1e-9), 6) AS VH_VV_ratio_peak, round(dv - dn, 6) AS SAR_opt_dtharv_diff, round((o - o * 0.7) / (o + o * 0.7 + 1e-9), 6) AS LSWI_peak
+FROM p LEFT JOIN i USING (user_id)""",
 )
 def _(t):
-    df = I.add_cross_features(features(t))
-    return rounded(df.select("user_id", "NDVI_peak_sq", "VH_NDVI_last"), 10)
+    v = F.col("v")
+    bands = {"NDVI": v, "NDRE": v / 2, "EVI": 2 * v, "B8A_mean": v, "B11_mean": v * 0.7, "VH_mean": v, "VV_mean": v + 0.2, "RVI": 3 * v, "DpRVI": v / 4}
+    plan = T.FeaturePlan(["NDVI", "NDRE", "EVI", "B8A_mean", "B11_mean"], ["VH_mean", "VV_mean", "RVI", "DpRVI"], WINDOWS)
+    built = T.build_trajectory_features(observations(t).withColumns(bands), S, plan, F.col("opt"), F.col("sar"))
+    df = I.add_cross_features(built)
+    products = ["NDVI_peak_sq", "VI_SAR_peak", "NDRE_DpRVI_peak", "VH_NDVI_last"]  # exact decimals, so many digits avoid halves
+    new = [c for c in df.columns if c not in built.columns]
+    return rounded(df.select("user_id", *[c if c in products else F.round(c, 6).alias(c) for c in new]), 12)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +43,9 @@ def multinomial_fit(obs: DataFrame, quantiles: DataFrame, keys: list[str], col:
     Classes end at each distinct quantile (right-closed), weighted by how often
     it occurs; one more class above the top has the small weight ``outside``.
     Returns the log-likelihood ratio and the share of seeded replicates with a
-    ratio at least as extreme.  Replicates are rows, so nothing collects.
+    ratio at least as extreme.  Observations are counted per class first; a
+    replicate draws the counts of a cell class by class, so its cost is the
+    number of classes, whatever the number of observations.
     """
     q = F.array_sort("quantiles")
     edges = F.array_distinct(q)
@@ -47,24 +53,35 @@ def multinomial_fit(obs: DataFrame, quantiles: DataFrame, keys: list[str], col:
         F.transform(edges, lambda e: F.size(F.filter(F.col("_q"), lambda v: v == e)).cast("double")), F.array(F.lit(float(outside)))
     )
     total = F.aggregate("_w", F.lit(0.0), lambda s, v: s + v)
-    classes = (
-        quantiles.withColumn("_q", q).withColumn("_edges", edges).withColumn("_w", weights).withColumn("_p", F.transform("_w", lambda v: v / total))
-        .withColumn("_cum", F.transform("_p", lambda v, i: F.aggregate(F.slice("_p", F.lit(1), i + 1), F.lit(0.0), lambda s, x: s + x)))
-        .select(*keys, "_edges", "_p", "_cum")
-    )
-    rows = obs.where(F.col(col).isNotNull()).select(*keys, *ids, col).join(classes, keys)
-    count_below = lambda arr, v: F.size(F.filter(arr, lambda e: e < v))
-    seen = rows.withColumn("_trial", F.lit(0)).withColumn("_class", count_below(F.col("_edges"), F.col(col)))
-    drawn = rows.withColumn("_trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn(
-        "_class", F.least(count_below(F.col("_cum"), N.uniform_hash(*ids, "_trial", seed=seed)), F.size("_p") - 1)
-    )
-    cells = seen.unionByName(drawn).groupBy(*keys, "_trial", "_class").agg(F.count(F.lit(1)).cast("double").alias("_c"), F.first(F.get("_p", F.col("_class"))).alias("_pc"))
-    sums = cells.groupBy(*keys, "_trial").agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.ln(F.col("_c") / F.col("_pc"))).alias("_s"))
-    ratio = sums.withColumn("_llr", F.col("_s") - F.col("_n") * F.ln("_n"))
-    base = ratio.where("_trial = 0").select(*keys, F.col("_n").cast("long").alias("n"), F.col("_llr").alias("llr"))
-    tests = ratio.where("_trial > 0").join(base, keys)
-    worse = (F.col("_llr") >= F.col("llr") - 1e-9).cast("double")
-    return tests.groupBy(*keys).agg(F.max("n").alias("n"), F.max("llr").alias("llr"), F.avg(worse).alias("p"))
+    classes = quantiles.withColumn("_q", q).withColumn("_edges", edges).withColumn("_w", weights).select(*keys, "_edges", F.transform("_w", lambda v: v / total).alias("_p"))
+    seen = O.value_counts(obs, keys, col).join(classes, keys)
+    seen = seen.withColumn("_class", F.size(F.filter("_edges", lambda e: e < F.col(col))))
+    per_class = seen.groupBy(*keys, "_class").agg(F.sum("_c").alias("_n"), F.first("_p").alias("_p"))
+    cells = per_class.groupBy(*keys).agg(F.sum("_n").alias("n"), F.first("_p").alias("_p"), F.collect_list(F.struct("_class", "_n")).alias("_held"))
+    cells = cells.withColumn("_key", F.xxhash64(F.lit(seed), *keys))
+    schema = ", ".join([*[f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys], "n long, llr double, p double"])
+
+    def ratio(counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """sum of c ln(c / p), less n ln n, over the classes that hold something."""
+        held = counts > 0
+        n = counts.sum(axis=-1)
+        return np.where(held, counts * np.log(np.where(held, counts, 1) / p), 0).sum(axis=-1) - n * np.log(n)
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            llrs, ps = [], []
+            for key, n, p, held in zip(batch["_key"], batch["n"], batch["_p"], batch["_held"]):
+                p = np.asarray(p)
+                counts = np.zeros(len(p), dtype=np.int64)
+                for h in held:
+                    counts[h["_class"]] += h["_n"]
+                llr = float(ratio(counts, p))
+                drawn = np.random.default_rng(int(key) % 2**63).multinomial(n, p / p.sum(), size=trials)
+                llrs.append(llr)
+                ps.append(float((ratio(drawn, p) >= llr - 1e-9).mean()))
+            yield batch.assign(llr=llrs, p=ps)[[*keys, "n", "llr", "p"]]
+
+    return cells.mapInPandas(test, schema)
 
 
 def fit_lognormal(df: DataFrame, keys: list[str], col: str, floor: float = 0.001) -> DataFrame:

@@ -141,19 +141,20 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "rn
     return counted.withColumnRenamed("_one_run", out).drop("_one", "_one_all")
 
 
-def carry(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str], previous: bool) -> DataFrame:
+def carry(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str], previous: bool, known: bool = False) -> DataFrame:
     """Bring values forward along the order.
 
-    ``previous=True`` gives lag(col, 1); ``previous=False`` gives the last
-    non-null value up to the current row.  ``cols`` maps source to new column.
+    ``previous=True`` gives lag(col, 1), or with ``known`` the last non-null value
+    before the row; ``previous=False`` gives the last non-null value up to the
+    current row.  ``cols`` maps source to new column.
     """
     pieces = _keyed(df, keys, order)
     place = F.struct(*order)
     ends = []
     for c in cols:
         seen = F.struct(F.col(c).alias("v"))
-        known = F.lit(True) if previous else F.col(c).isNotNull()
-        ends.append(F.max_by(F.when(known, seen), F.when(known, place)).alias(f"_end_{c}"))
+        counts = F.lit(True) if previous and not known else F.col(c).isNotNull()
+        ends.append(F.max_by(F.when(counts, seen), F.when(counts, place)).alias(f"_end_{c}"))
     totals = pieces.groupBy("_g", "_chunk").agg(*ends)
     ahead = Window.partitionBy("_g").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     for c in cols:
@@ -163,7 +164,9 @@ def carry(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str]
     inside = Window.partitionBy("_g", "_chunk").orderBy(*_sorted(order))
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in cols:
-        if previous:
+        if previous and known:
+            value = F.coalesce(F.last(c, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col(f"_in_{c}.v"))
+        elif previous:
             first = F.row_number().over(inside) == 1
             value = F.when(first, F.col(f"_in_{c}.v")).otherwise(F.lag(c).over(inside))
         else:

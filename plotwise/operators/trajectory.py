@@ -2,16 +2,14 @@
 
 Each observation has a date and a tie column; together they order the series.
 Everything that can be a mergeable aggregate is one, so a single entity may
-hold any share of the rows.  Steps that need neighbours work on days (at most
-366 per entity and season), on the last two rows, or on chunked series.
+hold any share of the rows.  Steps that need neighbours work on chunked series.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwise.functions import numbers as N
@@ -53,66 +51,47 @@ def trajectory_stats(df: DataFrame, s: Series, cols: list[str]) -> DataFrame:
     return df.groupBy(s.key).agg(*_stat_columns(s, cols))
 
 
-def trapezoid(df: DataFrame, s: Series, cols: list[str]) -> DataFrame:
-    """Trapezoid integral over day of year; a single value returns itself.
+def with_previous(df: DataFrame, s: Series, cols: list[str]) -> DataFrame:
+    """Beside each value, the date, day of year and value of the observation before it that has one, as `_p_<column>`.
 
-    Observations of one day span no width, so only the first and last value of
-    a day matter and the neighbour step runs on day rows.
+    One exchange of the observations serves all columns; series are cut into
+    pieces, so any may be long.
     """
-    at = F.struct(s.date, s.tie)
-    days = df.select(s.key, s.date, s.tie, F.dayofyear(s.date).alias("_doy"), *cols).groupBy(s.key, "_doy").agg(
-        *[F.min_by(c, _known(c, at)).alias(f"_first_{c}") for c in cols],
-        *[F.max_by(c, _known(c, at)).alias(f"_last_{c}") for c in cols],
-        *[F.count(c).alias(f"_n_{c}") for c in cols],
-    )
-    before = Window.partitionBy(s.key).orderBy("_doy").rowsBetween(Window.unboundedPreceding, -1)
-    for c in cols:
-        spot = F.when(F.col(f"_last_{c}").isNotNull(), F.struct(F.col("_doy").alias("d"), F.col(f"_last_{c}").alias("v")))
-        days = days.withColumn(f"_prev_{c}", F.last(spot, ignorenulls=True).over(before))
-    parts = []
+    spot = lambda c: _known(c, F.struct(F.col(s.date).alias("d"), F.dayofyear(s.date).alias("doy"), F.col(c).cast("double").alias("v")))
+    seen = df.withColumns({f"_o_{c}": spot(c) for c in cols})
+    return O.carry(seen, [s.key], [s.date, s.tie], {f"_o_{c}": f"_p_{c}" for c in cols}, previous=True, known=True).drop(*[f"_o_{c}" for c in cols])
+
+
+def _integral_columns(s: Series, cols: list[str]) -> list[Column]:
+    out = []
     for c in cols:
-        width = F.col("_doy") - F.col(f"_prev_{c}.d")
-        area = F.sum(width * (F.col(f"_first_{c}") + F.col(f"_prev_{c}.v")) / 2)
-        parts.append(
-            F.when(F.sum(f"_n_{c}") == 1, F.max(f"_first_{c}"))
-            .when(F.sum(f"_n_{c}") > 1, F.coalesce(area, F.lit(0.0)))
-            .alias(f"{c}_integral")
-        )
-    return days.groupBy(s.key).agg(*parts)
+        area = F.sum((F.dayofyear(s.date) - F.col(f"_p_{c}.doy")) * (F.col(c) + F.col(f"_p_{c}.v")) / 2)
+        out.append(F.when(F.count(c) == 1, F.max(c)).when(F.count(c) > 1, F.coalesce(area, F.lit(0.0))).alias(f"{c}_integral"))
+    return out
 
 
-def last_two_slopes(df: DataFrame, s: Series, cols: list[str], windows: dict[str, tuple[str, str]] | None = None, season: str | None = "slope") -> DataFrame:
-    """Slope between the last two valid observations, per season and date window.
+def trapezoid(df: DataFrame, s: Series, cols: list[str]) -> DataFrame:
+    """Trapezoid integral over day of year; a single value returns itself."""
+    return with_previous(df.select(s.key, s.date, s.tie, *cols), s, cols).groupBy(s.key).agg(*_integral_columns(s, cols))
 
-    Only the last two rows per (entity, column, window) leave each map task.
-    """
-    labels = []
-    if season:
-        labels.append(F.lit("season"))
+
+def _slope_columns(s: Series, cols: list[str], windows: dict[str, tuple[str, str]] | None, season: str | None) -> list[Column]:
+    """Slope between the last value and the one before it; in a window both lie inside."""
+    out, spans = [], [(season, F.lit(True), None)] if season else []
     for name, (lo, hi) in (windows or {}).items():
-        inside = F.col(s.date).between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))
-        labels.append(F.when(inside, F.lit(name)))
-    long = (
-        df.select(s.key, s.date, s.tie, F.explode(F.array_compact(F.array(*labels))).alias("_w"), *[F.col(c).cast("double").alias(c) for c in cols])
-        .unpivot([s.key, s.date, s.tie, "_w"], cols, "_c", "_v")
-        .where("_v is not null")
-    )
-    newest = Window.partitionBy(s.key, "_w", "_c").orderBy(F.desc(s.date), F.desc(s.tie))
-    two = long.withColumn("_rn", F.row_number().over(newest)).where("_rn <= 2")
-    pick = lambda rn, v: F.max(F.when(F.col("_rn") == rn, v))
-    doy = F.dayofyear(s.date)
-    slopes = two.groupBy(s.key, "_w", "_c").agg(
-        ((pick(1, F.col("_v")) - pick(2, F.col("_v"))) / (pick(1, doy) - pick(2, doy) + N.EPS)).alias("_slope")
-    )
-    wanted = {}
+        spans.append((f"{name}_slope", F.col(s.date).between(F.lit(lo).cast("date"), F.lit(hi).cast("date")), F.lit(lo).cast("date")))
     for c in cols:
-        if season:
-            wanted[("season", c)] = f"{c}_{season}"
-        for w in windows or {}:
-            wanted[(w, c)] = f"{c}_{w}_slope"
-    return slopes.groupBy(s.key).agg(
-        *[F.max(F.when((F.col("_w") == w) & (F.col("_c") == c), F.col("_slope"))).alias(n) for (w, c), n in wanted.items()]
-    )
+        before = F.col(f"_p_{c}")
+        for name, inside, lo in spans:
+            near = before.isNotNull() if lo is None else before["d"] >= lo
+            slope = F.when(near, (F.col(c) - before["v"]) / (F.dayofyear(s.date) - before["doy"] + N.EPS))
+            out.append(F.max_by(slope, F.when(F.col(c).isNotNull() & inside, F.struct(s.date, s.tie))).alias(f"{c}_{name}"))
+    return out
+
+
+def last_two_slopes(df: DataFrame, s: Series, cols: list[str], windows: dict[str, tuple[str, str]] | None = None, season: str | None = "slope") -> DataFrame:
+    """Slope between the last two valid observations, per season and date window."""
+    return with_previous(df.select(s.key, s.date, s.tie, *cols), s, cols).groupBy(s.key).agg(*_slope_columns(s, cols, windows, season))
 
 
 def _window_columns(s: Series, cols: list[str], windows: dict[str, tuple[str, str]]) -> list[Column]:
@@ -127,8 +106,8 @@ def _window_columns(s: Series, cols: list[str], windows: dict[str, tuple[str, st
 
 def window_stats(df: DataFrame, s: Series, cols: list[str], windows: dict[str, tuple[str, str]]) -> DataFrame:
     """Mean, max and last-two slope per column and named date window."""
-    stats = df.groupBy(s.key).agg(*_window_columns(s, cols, windows))
-    return stats.join(last_two_slopes(df, s, cols, windows, season=None), s.key, "left")
+    seen = with_previous(df.select(s.key, s.date, s.tie, *cols), s, cols)
+    return seen.groupBy(s.key).agg(*_window_columns(s, cols, windows), *_slope_columns(s, cols, windows, None))
 
 
 def _phenology_columns(s: Series, col: str, lo: float, hi: float) -> list[Column]:
@@ -165,9 +144,8 @@ def series_entropy(df: DataFrame, s: Series, col: str, bins: int = 10, out: str
 def autocorr_lag1(df: DataFrame, s: Series, col: str, out: str | None = None) -> DataFrame:
     """Correlation of a series with itself one observation earlier; needs n >= 3."""
     out = out or f"{col}_autocorr_l1"
-    valid = df.where(F.col(col).isNotNull()).select(s.key, s.date, s.tie, col)
-    prev = O.carry(valid, [s.key], [s.date, s.tie], {col: "_prev"}, previous=True)
-    return prev.groupBy(s.key).agg(F.count(F.lit(1)).alias("_n"), N.corr("_prev", col).alias(out)).where("_n >= 3").drop("_n")
+    seen = with_previous(df.select(s.key, s.date, s.tie, col), s, [col])
+    return seen.groupBy(s.key).agg(F.count(col).alias("_n"), N.corr(F.col(f"_p_{col}.v"), col).alias(out)).where("_n >= 3").drop("_n")
 
 
 def coverage_columns(s: Series, optical: Column, radar: Column) -> list[Column]:
@@ -201,8 +179,9 @@ def build_trajectory_features(df: DataFrame, s: Series, plan: FeaturePlan, is_op
     """All features of an entity in one row.
 
     Columns of the other sensor group are blanked first, so both groups share
-    one aggregation.  Every part ends hashed on the entity key; joining the
-    parts therefore moves no data.
+    one aggregation.  The observations are dealt once, beside the values before
+    them; all else is one mergeable aggregate.  Only the entropy, whose bins need
+    the range of the series first, counts one column a second time.
     """
     opt = [c for c in plan.optical if c in df.columns]
     sar = [c for c in plan.radar if c in df.columns]
@@ -211,15 +190,17 @@ def build_trajectory_features(df: DataFrame, s: Series, plan: FeaturePlan, is_op
         {**{c: F.when(F.col("_opt"), N.finite(F.col(c).cast("double"))) for c in opt}, **{c: F.when(F.col("_sar"), N.finite(F.col(c).cast("double"))) for c in sar}}
     ).select(s.key, s.date, s.tie, s.end, "_opt", "_sar", *opt, *sar)
     windowed = [c for c in plan.optical_windowed if c in opt] + [c for c in plan.radar_windowed if c in sar]
-    aggs = _stat_columns(s, [*opt, *sar]) + _window_columns(s, windowed, plan.windows)
+    cols = [*opt, *sar]
+    aggs = _stat_columns(s, cols) + _window_columns(s, windowed, plan.windows) + _integral_columns(s, cols) + _slope_columns(s, cols, None, "slope")
+    if plan.windows:
+        aggs += _slope_columns(s, windowed, plan.windows, None)
     if plan.phenology in opt:
         aggs += _phenology_columns(s, plan.phenology, 0.35, 0.50)
     aggs += coverage_columns(s, F.col("_opt"), F.col("_sar"))
-    parts = [masked.groupBy(s.key).agg(*aggs), trapezoid(masked, s, [*opt, *sar])]
-    parts.append(last_two_slopes(masked, s, [*opt, *sar]))
-    if plan.windows and windowed:
-        parts.append(last_two_slopes(masked, s, windowed, plan.windows, season=None))
     if plan.structure in sar:
-        parts.append(series_entropy(masked, s, plan.structure, out="VH_entropy"))
-        parts.append(autocorr_lag1(masked, s, plan.structure, out="VH_autocorr_l1"))
-    return reduce(lambda a, b: a.join(b, s.key, "left"), parts)
+        lag = N.corr(F.col(f"_p_{plan.structure}.v"), plan.structure)
+        aggs.append(F.when(F.count(plan.structure) >= 3, lag).alias("VH_autocorr_l1"))
+    features = with_previous(masked, s, cols).groupBy(s.key).agg(*aggs)
+    if plan.structure not in sar:
+        return features
+    return features.join(series_entropy(masked, s, plan.structure, out="VH_entropy"), s.key, "left")

@@ -200,7 +200,7 @@ def keyed_folds(df, ids, k, **kw):
  FROM lineitem, (VALUES ('forest'), ('linear')) v(a), (VALUES ('both'), ('covariates'), ('part')) w(s) GROUP BY ALL""")
 def _(t):
     sets = {"covariates": ["qty", "disc", "tax"], "part": ["size", "retail"], "both": COLS}
-    found = X.compare_models(rows(t), "status", "y", {"linear": X.Linear(), "forest": FORESTS}, sets, IDS, k=3)
+    found = X.compare_models(rows(t), "status", "y", {"linear": X.Linear(), "forest": FORESTS}, sets, IDS, k=2)
     # parts alone explain little of the price, the quantity nearly all
     fits = F.when(F.col("feature_set") == "part", F.col("r2_corr") < 0.3).otherwise(F.col("r2_corr") > 0.7)
     order = (F.col("cv_r2") <= F.col("cv_r2_best")) & (F.coalesce("cv_r2_sd", F.lit(0.0)) >= 0)
@@ -210,7 +210,7 @@ def _(t):
 @query("K17_evaluate_logo", """SELECT a.l_linestatus AS unit, a.l_returnflag AS region, count(*) AS n, true AS grid_in_order, true AS inside, true AS outside
  FROM lineitem a WHERE l_linestatus IN (SELECT l_linestatus FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1) GROUP BY 1, 2""")
 def _(t):
-    found = X.evaluate_logo(rows(t), "status", "flag", "y", COLS, FORESTS, IDS, k=3)
+    found = X.evaluate_logo(rows(t), "status", "flag", "y", COLS, FORESTS, IDS, k=2)
     order = (F.col("cv_r2") <= F.col("cv_r2_best")) & (F.col("cv_r2_sd") >= 0)
     return found.select("unit", "region", "n", order.alias("grid_in_order"), (F.col("cv_r2") > 0.7).alias("inside"), (F.col("test_r2") > 0.7).alias("outside"))
 
@@ -233,7 +233,7 @@ def _(t):
  SELECT l_returnflag AS f, 'location_mean' AS grain, count(*) AS n FROM (SELECT l_returnflag, l_partkey FROM lineitem GROUP BY 1, 2 HAVING count(*) > 9) GROUP BY 1), a AS (SELECT * FROM p UNION ALL SELECT * FROM m)
 SELECT x.grain, x.f AS train_unit, y.f AS test_unit, y.n, true AS grid_in_order, CASE WHEN x.grain = 'point' THEN true END AS fits FROM a x JOIN a y ON x.grain = y.grain AND x.f <> y.f""")
 def _(t):
-    found = X.transfer_matrix(rows(t), "flag", "y", COLS, FORESTS, IDS, location=["pk"], k=3)
+    found = X.transfer_matrix(rows(t), "flag", "y", COLS, FORESTS, IDS, location=["pk"], k=2)
     order = F.coalesce(F.col("cv_r2") <= F.col("cv_r2_best"), F.lit(True))
     fits = (F.col("cv_r2") > 0.7) & (F.col("oob_r2") > 0.7) & (F.col("test_r2") > 0.7)
     return found.select("grain", "train_unit", "test_unit", "n", order.alias("grid_in_order"), F.when(F.col("grain") == "point", fits).alias("fits"))
@@ -241,19 +241,19 @@ def _(t):
 
 @query("K19_self_evaluation", """SELECT v AS variable, 2::BIGINT AS n_units, CASE WHEN v = 'qty' THEN 1.0::DOUBLE END AS mean_rank, true AS in_range FROM (VALUES ('qty'), ('disc'), ('tax'), ('size'), ('retail')) t(v)""")
 def _(t):
-    ranks = X.self_evaluation(rows(t), "status", "y", COLS, FORESTS, IDS, k=3)[1]
+    ranks = X.self_evaluation(rows(t), "status", "y", COLS, FORESTS, IDS, k=2)[1]
     return ranks.select("variable", "n_units", F.when(F.col("variable") == "qty", F.col("mean_rank")).alias("mean_rank"), F.col("mean_rank").between(1, len(COLS)).alias("in_range"))
 
 
 @query("K19_self_evaluation_fits", "SELECT l_linestatus AS unit, count(*) AS n, true AS fits FROM lineitem GROUP BY 1")
 def _(t):
-    fits = X.self_evaluation(rows(t), "status", "y", COLS, X.Forests(trees=100, depth=6, settings=((None, "best"),)), IDS, k=3)[0]
+    fits = X.self_evaluation(rows(t), "status", "y", COLS, X.Forests(trees=100, depth=6, settings=((None, "best"),)), IDS, k=2)[0]
     return fits.select("unit", "n", ((F.col("cv_r2") > 0.7) & (F.col("r2_corr") > 0.7)).alias("fits"))
 
 
 @query("K20_leave_one_unit_out", "SELECT l_returnflag AS unit, count(*) AS n, true AS grid_in_order, true AS inside, true AS outside FROM lineitem GROUP BY 1")
 def _(t):
-    found = X.leave_one_unit_out(rows(t), "flag", "y", COLS, FORESTS, IDS, k=3)
+    found = X.leave_one_unit_out(rows(t), "flag", "y", COLS, FORESTS, IDS, k=2)
     order = (F.col("in_r2") <= F.col("in_r2_best")) & (F.col("in_r2_sd") >= 0)
     return found.select("unit", "n", order.alias("grid_in_order"), (F.col("in_r2") > 0.7).alias("inside"), (F.col("out_r2") > 0.7).alias("outside"))
 

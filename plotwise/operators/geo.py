@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwise.functions.numbers import as_col
+from plotwise.session import stored
 
 
 @dataclass(frozen=True)
@@ -66,10 +68,19 @@ def rectangle(x0, x1, y0, y1) -> Column:
     return F.array(corner(a, c), corner(b, c), corner(b, d), corner(a, d))
 
 
-def contains(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd ray casting; left and lower edges belong to the polygon."""
-    n = F.size(ring)
-    following = F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, F.lit(1), F.lit(1)))
+def edges_of(rings: Column) -> Column:
+    """The edges of closed rings; a ring's last point leads back to its first."""
+
+    def of(ring):
+        n = F.size(ring)
+        following = F.concat(F.slice(ring, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
+        return F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return F.flatten(F.transform(rings, of))
+
+
+def odd_crossings(edges: Column, x: Column, y: Column) -> Column:
+    """Even-odd ray casting; left and lower edges belong to the polygon, holes don't."""
 
     def crosses(edge):
         a, b = edge["a"], edge["b"]
@@ -77,32 +88,39 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
         at = F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"]
         return straddles & (x < at)
 
-    edges = F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
-def polygon_blocks(polygons: DataFrame, size: float, keep: list[str]) -> DataFrame:
-    """Each polygon once per square block its bounding box touches."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = polygons.select(
-        *keep, "ring", F.array_min(xs).alias("_xa"), F.array_max(xs).alias("_xb"), F.array_min(ys).alias("_ya"), F.array_max(ys).alias("_yb")
-    )
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
-    return boxed.withColumn("_bx", F.explode(span("_xa", "_xb"))).withColumn("_by", F.explode(span("_ya", "_yb")))
+def polygon_strips(polygons: DataFrame, size: float, keep: list[str]) -> DataFrame:
+    """Per polygon and horizontal strip: its edges there, and the range of x that they span.
+
+    `ring` is one ring of points or an array of rings (islands and holes). Only an edge that leads into
+    another strip is there twice, and level edges are left out, so what is shipped follows the border, not the area.
+    """
+    ring = F.col("ring")
+    many = dict(polygons.dtypes)["ring"].startswith("array<array")
+    edges = edges_of(ring if many else F.array(ring))
+    sides = polygons.select(*keep, F.explode(edges).alias("e")).where("e.a.y <> e.b.y")
+    low, high = F.least("e.a.y", "e.b.y"), F.greatest("e.a.y", "e.b.y")
+    strips = sides.withColumn("_by", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+    return strips.groupBy(*keep, "_by").agg(F.collect_list("e").alias("edges"), F.min(F.least("e.a.x", "e.b.x")).alias("_xa"), F.max(F.greatest("e.a.x", "e.b.x")).alias("_xb"))
 
 
 def attach_admin(points: DataFrame, polygons: DataFrame, fields: list[str], order: str, size: float = 1.0, x: str = "x", y: str = "y") -> DataFrame:
     """Fields of the polygon holding each point; lowest ``order`` on overlap.
 
-    Distinct locations are matched once, through blocks, so a place reported by
-    many rows costs one test.  Rows outside every polygon get NULL.
+    Distinct locations are matched once, so a place reported by many rows costs
+    one test, against the edges of a polygon in the strip of the location only. Squares that a polygon's
+    strip spans carry its number; its edges are one row per strip. Rows outside every polygon get NULL.
     """
     spots = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null").distinct()
     spots = spots.withColumn("_bx", F.floor(F.col("_x") / size)).withColumn("_by", F.floor(F.col("_y") / size))
-    renamed = polygons.select(F.col(order).alias("_order"), F.struct(*fields).alias("_fields"), "ring")
-    blocks = polygon_blocks(renamed, size, ["_order", "_fields"])
-    inside = F.col("_x").between(F.col("_xa"), F.col("_xb")) & F.col("_y").between(F.col("_ya"), F.col("_yb"))
-    hits = spots.join(blocks, ["_bx", "_by"]).where(inside).where(contains(F.col("ring"), F.col("_x"), F.col("_y")))
+    named = polygons.select(F.col(order).alias("_order"), F.struct(*fields).alias("_fields"), "ring")
+    strips = stored(polygon_strips(named, size, ["_order", "_fields"]))
+    squares = strips.select("_order", "_fields", "_by", "_xa", "_xb", F.explode(F.sequence(F.floor(F.col("_xa") / size), F.floor(F.col("_xb") / size))).alias("_bx"))
+    near = spots.join(squares, ["_bx", "_by"]).where(F.col("_x").between(F.col("_xa"), F.col("_xb")))
+    tested = near.select("_x", "_y", "_by", "_order", "_fields").join(strips.select("_order", "_fields", "_by", "edges"), ["_order", "_fields", "_by"])
+    hits = tested.where(odd_crossings(F.col("edges"), F.col("_x"), F.col("_y")))
     first = hits.groupBy("_x", "_y").agg(F.min_by("_fields", "_order").alias("_fields"))
     return (
         points.join(first, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left")
@@ -167,40 +185,64 @@ def knn(points: DataFrame, k: int, key: str = "point_id", x: str = "x", y: str =
 def nearest_cell(points: DataFrame, cells: DataFrame, grid: Grid, key: str, rings: int = 2, x: str = "x", y: str = "y") -> DataFrame:
     """The nearest present cell centre of a regular grid per point: (key, cell_id, dist).
 
-    Each distinct location looks at the squares of cells within ``rings``; those
-    whose nearest find is not certain search twice as far, until none is left.
-    The number of rounds depends on the widest gap in the grid, not on its size.
+    Each distinct location looks at the cells within ``rings``; those whose
+    nearest find is not certain go down a pyramid of occupied squares, from the
+    whole grid to single cells, keeping the squares that may hold the nearest.
     """
     spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct()
-    extent = cells.agg(
-        F.min(grid.col_of("cell_id")), F.max(grid.col_of("cell_id")), F.min(grid.row_of("cell_id")), F.max(grid.row_of("cell_id"))
-    ).first()
-    present = cells.select("cell_id", grid.centre_x("cell_id").alias("_cx"), grid.centre_y("cell_id").alias("_cy"))
-    widest = (extent[1] - extent[0] + extent[3] - extent[2] + 1) if extent[0] is not None else 0
-    found, open_spots, reach = None, spots, rings
-    from plotwise.session import durable
-
-    while True:
-        home = open_spots.withColumns({"_i": grid.col_at("_x"), "_j": grid.row_at("_y")})
-        # points off the grid start from its nearest edge cell
-        home = home.withColumns(
-            {"_i": F.least(F.greatest("_i", F.lit(extent[0])), F.lit(extent[1])), "_j": F.least(F.greatest("_j", F.lit(extent[2])), F.lit(extent[3]))}
-        )
-        grown = home.withColumn("_a", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_b", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-        asked = grown.withColumn("cell_id", grid.number(F.col("_i") + F.col("_a"), F.col("_j") + F.col("_b")))
-        dx, dy = F.col("_cx") - F.col("_x"), F.col("_cy") - F.col("_y")
-        near = asked.join(present, "cell_id").withColumn("_d", F.sqrt(dx * dx + dy * dy)).groupBy("_x", "_y").agg(F.min(F.struct("_d", "cell_id")).alias("_e"))
-        # anything unseen is at least this far from a point inside its home cell
-        certain = F.lit((reach + 0.5) * grid.res)
-        off = F.greatest(F.abs(grid.centre_x(grid.number(F.col("_i"), F.col("_j"))) - F.col("_x")), F.abs(grid.centre_y(grid.number(F.col("_i"), F.col("_j"))) - F.col("_y")))
-        slack = home.select("_x", "_y", (certain + F.lit(0.5 * grid.res) - off).alias("_sure")).join(near, ["_x", "_y"], "left")
-        last = reach >= widest
-        sure = F.col("_e").isNotNull() & (F.lit(last) | (F.col("_e._d") < F.col("_sure")))
-        round_ = durable(slack.withColumn("_done", F.coalesce(sure, F.lit(False))))
-        done = round_.where("_done").select("_x", "_y", "_e")
-        found = done if found is None else found.unionByName(done)
-        open_spots = round_.where("not _done").select("_x", "_y")
-        if last or open_spots.isEmpty():
-            break
-        reach *= 2
+    present = cells.select("cell_id", grid.col_of("cell_id").alias("_i"), grid.row_of("cell_id").alias("_j")).distinct()
+    around = F.explode(F.sequence(F.lit(-rings), F.lit(rings)))
+    home = spots.withColumns({"_hi": grid.col_at("_x"), "_hj": grid.row_at("_y")}).withColumn("_a", around).withColumn("_b", around)
+    asked = home.withColumns({"_i": F.col("_hi") + F.col("_a"), "_j": F.col("_hj") + F.col("_b")})
+    dist = _distance(F.col("_x") - grid.centre_x("cell_id"), F.col("_y") - grid.centre_y("cell_id"))
+    near = asked.join(present, ["_i", "_j"]).groupBy("_x", "_y").agg(F.min(F.struct(dist.alias("_d"), "cell_id")).alias("_e"))
+    # a cell that wasn't asked is more than rings + 1/2 cells away along x or y
+    round_ = stored(spots.join(near, ["_x", "_y"], "left").withColumn("_sure", F.coalesce(F.col("_e._d") < (rings + 0.5) * grid.res * (1 - 1e-9), F.lit(False))))
+    found = round_.where("_sure").select("_x", "_y", "_e")
+    rest = round_.where("not _sure").select("_x", "_y")
+    if not rest.isEmpty():
+        for last in descents(rest, present, grid):
+            pass
+        found = found.unionByName(last.groupBy("_x", "_y").agg(F.min(F.struct(F.col("_low").alias("_d"), "cell_id")).alias("_e")))
     return points.join(found, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))).select(key, F.col("_e.cell_id").alias("cell_id"), F.col("_e._d").alias("dist"))
+
+
+def _distance(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def descents(spots: DataFrame, present: DataFrame, grid: Grid) -> Iterator[DataFrame]:
+    """Per step of a pyramid, the squares that may hold a location's nearest cell, the last step being single cells.
+
+    Steps go four times finer, so there are half the binary digits of the extent.
+    A square is kept where its nearest centre could lie no farther than the
+    farthest one of another square of the same location.
+    """
+    extent = present.agg(F.min("_i"), F.max("_i"), F.min("_j"), F.max("_j")).first()
+    if extent[0] is None:
+        yield spots.select("_x", "_y", F.lit(0.0).alias("_low"), F.lit(None).cast("long").alias("cell_id")).limit(0)
+        return
+    steps = -(-max(extent[1] - extent[0], extent[3] - extent[2], 1).bit_length() // 2)
+    open_squares = spots.withColumns({"_pi": F.lit(0).cast("long"), "_pj": F.lit(0).cast("long")})
+    for step in range(steps - 1, -1, -1):
+        shift, span = 2 * step, (1 << 2 * step) - 1
+        at = {c: F.shiftright(F.col(c) - F.lit(low).cast("long"), shift) for c, low in (("_i", extent[0]), ("_j", extent[2]))}
+        squares = present.select(at["_i"].alias("_si"), at["_j"].alias("_sj"), *(["cell_id"] if step == 0 else [])).distinct()
+        squares = squares.withColumns({"_pi": F.shiftright("_si", 2), "_pj": F.shiftright("_sj", 2)})
+        met = open_squares.join(squares, ["_pi", "_pj"])
+        ends = {}
+        for c, s, low, first in (("x", "_si", extent[0], grid.x0), ("y", "_sj", extent[2], grid.y0)):
+            a = F.lit(first) + (F.shiftleft(s, shift) + F.lit(low).cast("long") + 0.5) * F.lit(grid.res)
+            ends[c] = (a, a + F.lit(span * grid.res))
+        gaps, farthest = [], []
+        for c, (a, b) in ends.items():
+            v = F.col(f"_{c}")
+            gaps.append(F.greatest(a - v, v - b, F.lit(0.0)))
+            farthest.append(F.greatest(F.abs(v - a), F.abs(v - b)))
+        low = _distance(*gaps) if step else _distance(F.col("_x") - grid.centre_x("cell_id"), F.col("_y") - grid.centre_y("cell_id"))
+        met = met.withColumns({"_low": low, "_high": _distance(*farthest)})
+        best = met.groupBy("_x", "_y").agg(F.min("_high").alias("_best"))
+        kept = met.join(best, ["_x", "_y"]).where(F.col("_low") <= F.col("_best") * (1 + 1e-9) + 1e-12)
+        open_squares = stored(kept.select("_x", "_y", F.col("_si").alias("_pi"), F.col("_sj").alias("_pj"), "_low", *(["cell_id"] if step == 0 else [])))
+        yield open_squares
+        open_squares = open_squares.drop("_low")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotwise.functions.text import jaro_similarity
+from plotwise.session import stored
 
 
 def equi_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -59,14 +60,18 @@ def guard_until(obs: DataFrame, ref: DataFrame, key: str, date: str, end: str) -
     return obs.join(ends, key).where(F.col(date) <= F.col(end))
 
 
-def unit_pairs(df: DataFrame, key: str) -> DataFrame:
-    """Every (train, test) pair of distinct units of a small key column.
+def unit_pairs(df: DataFrame, key: str, block: int = 1000) -> DataFrame:
+    """Every (train, test) pair of distinct units of a key column.
 
-    The units become one array, so the pairs need no join.
+    Units are dealt to blocks of about ``block`` by a hash, and each block meets
+    each, so no row, key or task holds more than a block of units.
     """
-    units = df.agg(F.sort_array(F.collect_set(key)).alias("u"))
-    trains = units.select("u", F.explode("u").alias("train_unit"))
-    return trains.select("train_unit", F.explode("u").alias("test_unit")).where("train_unit <> test_unit")
+    units = stored(df.select(F.col(key).alias("unit")).where("unit is not null").distinct())
+    blocks = max(1, -(-units.count() // block))
+    own = F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int")
+    trains = units.select(F.col("unit").alias("train_unit"), own.alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    tests = units.select(F.col("unit").alias("test_unit"), own.alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_a"))
+    return trains.join(tests, ["_a", "_b"]).where("train_unit <> test_unit").select("train_unit", "test_unit")
 
 
 def bind_by_key(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,63 +90,73 @@ def _letters(name: Column) -> Column:
     )
 
 
-def similar_values(left: DataFrame, right: DataFrame, key: str, max_dist: float) -> DataFrame:
-    """(_l, _r, dist) for distinct lower-case texts within a Jaro distance.
+def candidate_pairs(left: DataFrame, right: DataFrame, scope: list[str], max_dist: float) -> DataFrame:
+    """(scope, _l, _r) for texts ``s`` of one scope that may lie within a Jaro distance; few others come along.
 
     Jaro similarity s needs m shared letters with m/|a| + m/|b| >= 3s - 1, so
     m >= (3s - 1)|a||b| / (|a| + |b|) =: need.  A text whose partner is at
     least b_min long needs k = need(|a|, b_min) shared letters, and two letter
     sets sharing k items always meet in the first |a| - k + 1 items of any
-    common order.  Ordering items rarest first makes these prefixes selective;
-    nothing within the distance is lost.
+    common order.  Ordering items rarest first makes these prefixes selective.
+    Pairs that meet are kept where their lengths allow it and their whole
+    letter sets share as many items as they need; nothing within the distance is lost.
     """
     strict = 3 * (1 - max_dist) - 1
     shortest = max(strict - 1, 0.0)  # b_min / |a|, from need <= min(|a|, |b|)
-    names = lambda df: df.select(F.lower(F.col(key)).alias("s")).where("s is not null").distinct()
-    both = names(left).withColumn("side", F.lit("l")).unionByName(names(right).withColumn("side", F.lit("r")))
-    sized = both.withColumn("n", F.length("s")).where("n > 0")
-    items = sized.select("s", "side", "n", F.explode(_letters(F.col("s"))).alias("item"))
+    both = left.select(*scope, "s", F.lit("l").alias("side")).unionByName(right.select(*scope, "s", F.lit("r").alias("side")))
+    sized = both.distinct().withColumn("n", F.length("s")).where("n > 0")
+    items = sized.select("s", F.explode(_letters(F.col("s"))).alias("item")).distinct()
     rarity = items.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
-    ranked = items.join(rarity, "item").groupBy("s", "side", "n").agg(
-        F.sort_array(F.collect_list(F.struct("freq", "item"))).alias("items")
-    )
+    ranked = items.join(rarity, "item").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("freq", "item"))).getField("item").alias("items"))
     least = F.ceil(F.col("n") * (strict * shortest / (1 + shortest)) - 1e-9)
     prefix = F.slice("items", F.lit(1), F.greatest(F.col("n") - least + 1, F.lit(1)).cast("int"))
-    keyed = ranked.select("s", "side", "n", F.explode(prefix.getField("item")).alias("item"))
-    l = keyed.where("side = 'l'").select(F.col("s").alias("_l"), F.col("n").alias("nl"), "item")
-    r = keyed.where("side = 'r'").select(F.col("s").alias("_r"), F.col("n").alias("nr"), "item")
-    fits = (F.least("nl", "nr") + 1e-9) >= F.lit(strict) * F.col("nl") * F.col("nr") / (F.col("nl") + F.col("nr"))
-    pairs = l.join(r, "item").where(fits).select("_l", "_r").distinct()
-    scored = pairs.withColumn("dist", 1 - jaro_similarity(F.col("_l"), F.col("_r")))
-    empty = left.sparkSession.range(1).select(F.lit("").alias("_l"), F.lit("").alias("_r"), F.lit(0.0).alias("dist"))
-    blanks = empty.join(names(left).select(F.col("s").alias("_l")), "_l", "left_semi").join(
-        names(right).select(F.col("s").alias("_r")), "_r", "left_semi"
-    )
-    return scored.where(F.col("dist") <= max_dist + 1e-12).unionByName(blanks)
+    keyed = sized.join(ranked, "s").select(*scope, "side", "s", "items", F.explode(prefix).alias("item"))
+    side = lambda at: keyed.where(F.col("side") == at).select(*scope, "item", F.col("s").alias(f"_{at}"), F.col("items").alias(f"i{at}"))
+    nl, nr = F.size("il"), F.size("ir")
+    need = F.lit(strict) * nl * nr / (nl + nr) - 1e-9
+    fits = (F.least(nl, nr) >= need) & (F.size(F.array_intersect("il", "ir")) >= need)
+    return side("l").join(side("r"), [*scope, "item"]).where(fits).select(*scope, "_l", "_r").distinct()
+
+
+def similar_values(left: DataFrame, right: DataFrame, key: str, max_dist: float) -> DataFrame:
+    """(_l, _r, dist) for distinct lower-case texts within a Jaro distance."""
+    names = lambda df: df.select(F.lower(F.col(key)).alias("s"))
+    return _similar(names(left), names(right), [], max_dist)
+
+
+def _similar(left: DataFrame, right: DataFrame, scope: list[str], max_dist: float) -> DataFrame:
+    """(scope, _l, _r, dist) within the distance; empty texts equal each other."""
+    left, right = (df.where("s is not null").distinct() for df in (left, right))
+    scored = candidate_pairs(left, right, scope, max_dist).withColumn("dist", 1 - jaro_similarity(F.col("_l"), F.col("_r")))
+    blank = lambda df, at: df.where("s = ''").select(*scope, F.col("s").alias(at))
+    blanks = blank(left, "_l").withColumn("_k", F.lit(0)).join(blank(right, "_r").withColumn("_k", F.lit(0)), [*scope, "_k"]).drop("_k")
+    return scored.where(F.col("dist") <= max_dist + 1e-12).unionByName(blanks.withColumn("dist", F.lit(0.0)))
 
 
 def fuzzy_join(a: DataFrame, b: DataFrame, keys: list[str], max_dist: float = 0.2) -> DataFrame:
     """Rows whose lower-cased keys all lie within a Jaro distance.
 
     Distinct texts are compared once per key, whatever number of rows carry
-    them; rows then join by equality.  Right-hand keys come back as ``<k>_right``.
+    them; put the key of fewest values first: texts of the next key are only
+    compared inside the pairs that the keys before allow.  Rows then join by equality.
+    Right-hand keys come back as ``<k>_right``.
     """
     left = a.withColumns({f"_l_{k}": F.lower(k) for k in keys})
     right = b.select(
         *[F.col(c).alias(f"{c}_right" if c in a.columns else c) for c in b.columns],
         *[F.lower(k).alias(f"_r_{k}") for k in keys],
     )
-    first, *rest = keys
-    near = {k: similar_values(a, b, k, max_dist) for k in keys}
-    rename = lambda k: near[k].select(
-        F.col("_l").alias(f"_l_{k}"), F.col("_r").alias(f"_r_{k}"), F.col("dist").alias(f"dist_{k}")
-    )
-    # distinct key combinations first: duplicates multiply only in the last join
     lk = left.select(*[f"_l_{k}" for k in keys]).distinct()
     rk = right.select(*[f"_r_{k}" for k in keys]).distinct()
-    combos = lk.join(rename(first), f"_l_{first}").join(rk, f"_r_{first}")
-    for k in rest:
-        combos = combos.join(rename(k), [f"_l_{k}", f"_r_{k}"])
+    combos, scope = None, []
+    for i, k in enumerate(keys):
+        mine, theirs = [f"_l_{x}" for x in keys[:i]], [f"_r_{x}" for x in keys[:i]]
+        known = combos.select(*scope) if scope else None
+        inside = lambda names, on, own: (names.join(known, on) if scope else names).select(*scope, F.col(own).alias("s"))  # noqa: E731, B023
+        near = _similar(inside(lk, mine, f"_l_{k}"), inside(rk, theirs, f"_r_{k}"), scope, max_dist)
+        near = near.withColumnsRenamed({"_l": f"_l_{k}", "_r": f"_r_{k}", "dist": f"dist_{k}"})
+        combos = stored(near if combos is None else combos.join(near, scope))
+        scope = [*scope, f"_l_{k}", f"_r_{k}"]
     out = left.join(combos, [f"_l_{k}" for k in keys]).join(right, [f"_r_{k}" for k in keys])
     return out.drop(*[f"_l_{k}" for k in keys], *[f"_r_{k}" for k in keys])
 

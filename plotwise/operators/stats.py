@@ -130,17 +130,23 @@ def profile_with_total(df: DataFrame, key: str, col: str, probs: dict[str, float
     """Profile per group plus a row recomputed from all raw rows.
 
     Also n and percent of rows under each threshold, and waves and period when
-    a year column is named.
+    a year column is named. Equal rows are counted once and for all.
     """
-    base = stored(df.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, col, *([year] if year else [])])))
-    counts = [F.count(F.lit(1)).alias("n_obs"), F.avg(col).alias("avg")]
-    counts += [F.count_if(F.col(col) < t).alias(f"n_{_tag(t)}") for t in below]
+    names = list(dict.fromkeys([key, col, *([year] if year else [])]))
+    return profile_of_counts(stored(df.where(F.col(key).isNotNull()).groupBy(*names).agg(F.count(F.lit(1)).alias("_c"))), key, col, probs, below, year, total)
+
+
+def profile_of_counts(base: DataFrame, key: str, col: str, probs: dict[str, float], below: list[float], year: str | None = None, total: str = "TOTAL") -> DataFrame:
+    """The same from a stored table of (key, col, year) and the number of such rows, _c."""
+    n = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("_c"))), F.lit(0))
+    counts = [F.sum("_c").alias("n_obs"), N.safe_ratio(F.sum(F.col(col) * F.col("_c")), n(F.col(col).isNotNull())).alias("avg")]
+    counts += [n(F.col(col) < t).alias(f"n_{_tag(t)}") for t in below]
     if year:
         counts += [F.min(year).alias("_y0"), F.max(year).alias("_y1")]
     agg = base.rollup(key).agg(F.grouping(key).alias("_total"), *counts)
     label = F.when(F.col("_total") == 1, F.lit(total)).otherwise(F.col(key))
     agg = agg.withColumn(key, label).drop("_total")
-    vals = stored(O.value_counts(base, [key], col))
+    vals = stored(base.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.sum("_c").alias("_c")))
     everyone = vals.groupBy(col).agg(F.sum("_c").alias("_c")).select(F.lit(total).alias(key), col, "_c")
     table = agg.join(O.quantiles_of_counts(vals.unionByName(everyone), [key], col, probs), key, "left")
     if year:

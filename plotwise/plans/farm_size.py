@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plotwise.operators import clean as C
+from plotwise.operators import ordering as O
 from plotwise.operators import stats as S
-from plotwise.session import durable
+from plotwise.session import stored
 
 
 def clean_plots(plots: DataFrame, measured: str = "measured_plot_area_ha", reported: str = "reported_area_ha") -> DataFrame:
@@ -19,15 +21,10 @@ def clean_plots(plots: DataFrame, measured: str = "measured_plot_area_ha", repor
 
 def farm_profile(plots: DataFrame, p: float = 0.95) -> DataFrame:
     """Farm-size profile per country with a TOTAL row, after the percentile trim."""
-    farms = C.within_bbox(S.farm_area(clean_plots(plots)), "x", "y", (-18, 52, -35, 38))
-    # farms are far fewer than plots and are read several times below
-    farms = durable(farms.select("country", "year", "farm_area_ha"))
-    trimmed = durable(C.trim_by_quantile(farms, ["country"], "farm_area_ha", p))
-    return S.profile_with_total(
-        trimmed,
-        "country",
-        "farm_area_ha",
-        {"q10": 0.10, "med": 0.5, "q90": 0.90},
-        below=[0.5, 1],
-        year="year",
-    )
+    farms = C.within_bbox(S.farm_area(clean_plots(plots)), "x", "y", (-18, 52, -35, 38)).where("country is not null")
+    # one counted table serves the limit and the profile: sizes above the limit drop out of it
+    counted = stored(farms.groupBy("country", "year", "farm_area_ha").agg(F.count(F.lit(1)).alias("_c")))
+    sizes = counted.where("farm_area_ha is not null").groupBy("country", "farm_area_ha").agg(F.sum("_c").alias("_c"))
+    limits = O.quantiles_of_counts(sizes, ["country"], "farm_area_ha", {"_limit": p})
+    trimmed = stored(counted.join(limits, "country").where("farm_area_ha <= _limit").drop("_limit"))
+    return S.profile_of_counts(trimmed, "country", "farm_area_ha", {"q10": 0.10, "med": 0.5, "q90": 0.90}, below=[0.5, 1], year="year")

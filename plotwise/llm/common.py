@@ -55,6 +55,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_name() -> Column:
+    """What a row is drawn by: its doc_id, or where that is NULL a digest of its text, so that such rows spread too."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(text_of())))
+
+
 def uniform(seed: int, *columns: Column) -> Column:
     """A reproducible number in (0, 1) from the first 48 bits of an MD5."""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plotwise.llm.common import WORD, null_safe_key, stored, text_of, uniform, unused, words_of
+from plotwise.llm.common import WORD, null_safe_key, row_name, stored, text_of, uniform, unused, words_of
 
 SYMBOLS = "#*$%&|<>!"
 #: Quality weights lie between these two; the rate spreads keys evenly over pieces.
@@ -55,9 +57,9 @@ def mixture(docs: DataFrame, keep: list[str] | None = None, seed: int = 23, piec
     target is filled by its documents in the order of -ln(u) / quality, smallest
     first, and the document that crosses the budget is cut there. `taken` counts
     words, repeats included; it is at most 3 times the size and sums to the
-    rounded target of each source. Keys are cut into pieces, a number of them in
-    proportion to the rows of the source, and sums of earlier pieces are added,
-    so no source is ever sorted in one task.
+    rounded target of each source. Keys are cut into as many pieces as the table
+    has `piece_rows` rows, sums of earlier pieces are added, and rows are dealt by
+    source and piece only, so no source is ever sorted in one task.
 
     A NULL source is a source of its own, last in order; NULL and empty texts
     have size 0 and are never taken. Equal keys fall to doc_id, then size; rows
@@ -67,18 +69,18 @@ def mixture(docs: DataFrame, keep: list[str] | None = None, seed: int = 23, piec
     text = text_of()
     docs = docs.drop("size", "source_size", "target", "taken")
     keep = docs.columns if keep is None else keep
-    key, piece, src, inside, before, number = (unused(docs, n) for n in ("_key", "_piece", "_source", "_inside", "_before", "_rows"))
+    key, piece, src, inside, before = (unused(docs, n) for n in ("_key", "_piece", "_source", "_inside", "_before"))
     rows = docs.withColumns({src: null_safe_key("source"), "size": F.regexp_count(text, F.lit(WORD)).cast("long")})
     weight = document_quality(text, F.col("size")) if quality is None else quality
     own = dict.fromkeys(["doc_id", *keep])
-    rows = stored(rows.withColumn(key, -F.log(uniform(seed, F.col("doc_id"))) / weight).select(*own, src, "size", key))
-    sizes = rows.groupBy(F.col(src).alias("_source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    targets = source_targets(sizes).withColumnsRenamed({"_source": src, "_rows": number})
+    rows = stored(rows.withColumn(key, -F.log(uniform(seed, row_name())) / weight).select(*own, src, "size", key))
+    sizes = rows.groupBy(F.col(src).alias("_source")).agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes).withColumnRenamed("_source", src)
     share = 1 - F.exp(-RATE * F.col(key))
-    rows = rows.join(targets, src).withColumn(piece, F.floor(share * F.ceil(F.col(number) / piece_rows)))
+    rows = rows.withColumn(piece, F.floor(share * max(1, ceil(rows.count() / piece_rows))))
     sums = rows.groupBy(src, piece).agg(F.sum("size").alias("_n"))
     earlier = Window.partitionBy(src).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(src, piece, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before))
+    sums = sums.select(src, piece, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before)).join(targets, src)
     inner = Window.partitionBy(src, piece).orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(inside, F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums, [src, piece])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))

@@ -134,7 +134,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM f
     ), k AS (
       SELECT d.doc_id, d.size, t.source_size, t.target, d.source,
-             -ln((('0x' || substr(md5('23:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
+             -ln((('0x' || substr(md5('23:' || coalesce(d.doc_id::VARCHAR, '-' || md5(d.body))), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
              / CASE WHEN d.size > 0 THEN greatest(0.5::DOUBLE, 1.0::DOUBLE - (length(d.body) - length(translate(d.body, '#*$%&|<>!', ''))) / d.size) ELSE 0.5 END AS key
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
     ), p AS (

@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plotwise.llm.common import null_safe_key, text_of, uniform
+from plotwise.llm.common import null_safe_key, row_name, stored, text_of, uniform
 
 
 def ranked(df: DataFrame, piece: list[str], order: list, group: list[str], name: str) -> DataFrame:
-    """0-based rank within `group` along `piece`, then `order`.
+    """0-based rank within `group` along `piece`, then `order`, and the rows of the group as `<name>_of`.
 
     Rows are numbered inside (group, piece) and moved on by the counts of the
-    pieces before, so no group is ever sorted in one task.
+    pieces before. They are dealt by group and piece only, so no group is ever
+    sorted in one task.
     """
     keys = [*group, *piece]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*group)).alias(f"{name}_of"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     return df.withColumn("_inside", inside).join(offsets, keys).withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
@@ -35,24 +36,24 @@ def interleaved_shards(docs: DataFrame, shards: int = 24, seed: int = 17, piece_
     not kept together; copies of a hot text spread like other rows.
 
     A NULL source is a source of its own, last; a NULL text has 0 bytes; a NULL
-    doc_id hashes like an empty one. Ties fall to doc_id, then size and CRC; rows
+    doc_id is replaced by a digest of the text. Ties fall to doc_id, then size and CRC; rows
     equal in all of them are interchangeable. With fewer rows than shards some
     shards stay empty; an empty table gives an empty result.
     """
     text = text_of()
-    total = docs.count()
-    pieces = max(1, ceil(total / piece_rows))
     rows = docs.select(
         "doc_id",
         null_safe_key("source").alias("_source"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        uniform(seed, F.col("doc_id")).alias("_u"),
+        uniform(seed, row_name()).alias("_u"),
     )
-    per_source = docs.groupBy(null_safe_key("source").alias("_source")).agg(F.count(F.lit(1)).alias("_rows"))
-    rows = rows.join(per_source, "_source").withColumn("_piece", F.floor(F.col("_u") * F.ceil(F.col("_rows") / piece_rows)))
+    rows = stored(rows)
+    total = rows.count()
+    pieces = max(1, ceil(total / piece_rows))
+    rows = rows.withColumn("_piece", F.floor(F.col("_u") * pieces))
     rows = ranked(rows, ["_piece"], ["_u", "doc_id", "size", "text_crc32"], ["_source"], "_rank")
-    share = (F.col("_rank") + 0.5) / F.col("_rows")
+    share = (F.col("_rank") + 0.5) / F.col("_rank_of")
     rows = (
         rows.drop("_piece")
         .withColumn("_share", share)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -459,3 +460,20 @@ def test_empty_tables(empty, spark):
         sharding.interleaved_shards(empty), packing.pack(empty), minhash.near_duplicates(empty), minhash.without_near_duplicates(empty), line_dedup.line_digest(empty), line_dedup.dedup_lines(empty),
     ):
         assert out.count() == 0
+
+
+def test_no_source_is_dealt_alone(spark, edge):
+    """Windows of the mixture and of the shards stand on rows dealt by source and piece."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [mixing.mixture(edge[1], keep=["doc_id"], piece_rows=3), sharding.interleaved_shards(edge[1], piece_rows=3)]
+        for df in plans:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            lines = plan.splitlines()
+            ranked = [i for i, x in enumerate(lines) if "Window [" in x and re.search(r"windowspecdefinition\(_source#\d+, _piece#", x)]
+            assert ranked
+            for i in ranked:
+                dealt = next(x for x in lines[i:] if "Exchange " in x)
+                assert re.search(r"hashpartitioning\(_source#\d+, _piece#", dealt), dealt
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

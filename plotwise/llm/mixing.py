@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
     return table.select(*sizes.columns, target.alias("target"))
 
 
-def mixture(docs: DataFrame, keep: list[str] | None = None, seed: int = 23, piece_rows: int = 10_000, quality: Column | None = None) -> DataFrame:
+def mixture(docs: DataFrame, keep: list[str] | None = None, seed: int = 23, piece_rows: int = 2_000, quality: Column | None = None) -> DataFrame:
     """The columns `keep` of `docs` (all by default) and size, source_size, target and taken of each row.
 
     Each source gives whole epochs while its target allows; the rest of the

@@ -26,7 +26,7 @@ def ranked(df: DataFrame, piece: list[str], order: list, group: list[str], name:
     return df.withColumn("_inside", inside).join(offsets, keys).withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
-def interleaved_shards(docs: DataFrame, shards: int = 24, seed: int = 17, piece_rows: int = 10_000) -> DataFrame:
+def interleaved_shards(docs: DataFrame, shards: int = 24, seed: int = 17, piece_rows: int = 2_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row.
 
     Rows of a source are shuffled by a seeded hash and numbered; all rows are

@@ -9,6 +9,7 @@ def load() -> None:
         grids,
         modelling,
         statistics,
+        studies,
         survey,
         trajectories,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotwise.llm.common import text_of
+from plotwise.llm.common import text_of, unused
 from plotwise.llm.spans import digits_of, joined, with_spans
 
 # fixed values -----------------------------------------------------------------
@@ -76,13 +76,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
     stay whatever their score; IBANs and identity numbers stay from a score of
     0.6 on, which an identity number reaches by a context word only. Context is
     the 40 characters on each side up to the next proposal of the kind. NULL and
-    empty texts have no spans. An existing column `pii` is replaced.
+    empty texts have no spans, repeated rows the same ones; texts of any length are
+    read whole. An existing column `pii` is replaced, others stay. An empty table
+    gives an empty result.
     """
-    rows = docs.withColumn("_text", text_of())
-    digit = F.col("_text").rlike("[0-9]")
-    needs = {"email": F.contains(F.col("_text"), F.lit("@")), "phone": F.contains(F.col("_text"), F.lit("+")) & digit}
+    text, found = unused(docs, "_text"), {kind: unused(docs, f"_{kind}") for kind in KINDS}
+    rows = docs.withColumn(text, text_of())
+    digit = F.col(text).rlike("[0-9]")
+    needs = {"email": F.contains(F.col(text), F.lit("@")), "phone": F.contains(F.col(text), F.lit("+")) & digit}
     for kind in KINDS:
-        rows = with_spans(rows, "_text", f"_{kind}", PATTERNS[kind], needs.get(kind, digit))
+        rows = with_spans(rows, text, found[kind], PATTERNS[kind], needs.get(kind, digit))
 
     def scored(kind: str) -> Column:
         def one(s):
@@ -90,10 +93,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
             score = F.round(F.lit(PRIOR[kind]) + F.when(near, F.lit(0.3)).otherwise(F.lit(0.0)), 2)
             return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
-        spans = F.transform(F.filter(F.col(f"_{kind}"), lambda s: confirmed(kind, s["match"])), one)
+        spans = F.transform(F.filter(F.col(found[kind]), lambda s: confirmed(kind, s["match"])), one)
         return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= THRESHOLD)
 
-    return rows.withColumn("pii", F.concat(*map(scored, KINDS))).drop("_text", *[f"_{k}" for k in KINDS])
+    return rows.withColumn("pii", F.concat(*map(scored, KINDS))).drop(text, *found.values())
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

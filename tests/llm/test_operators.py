@@ -477,3 +477,12 @@ def test_no_source_is_dealt_alone(spark, edge):
                 assert re.search(r"hashpartitioning\(_source_*#\d+, _piece#", dealt), dealt
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pii_keeps_columns_of_its_own_names(spark):
+    names = ["_text", "_id", "_email", "_ip", "_card", "_phone", "_iban"]
+    df = spark.createDataFrame([(1, "mail a@b.co or 10.0.0.1", *range(7))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    found = pii.find_pii(df)
+    assert found.columns == [*df.columns, "pii"]
+    row = found.first()
+    assert [row[n] for n in names] == list(range(7)) and [s.kind for s in row.pii] == ["email", "ip"]

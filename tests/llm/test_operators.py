@@ -470,7 +470,7 @@ def test_no_source_is_dealt_alone(spark, edge):
         for df in plans:
             plan = df._jdf.queryExecution().executedPlan().toString()
             lines = plan.splitlines()
-            ranked = [i for i, x in enumerate(lines) if "Window [" in x and re.search(r"windowspecdefinition\(_source_*#\d+, _piece#", x)]
+            ranked = [i for i, x in enumerate(lines) if "Window [" in x and re.search(r"windowspecdefinition\(_source_*#\d+, _piece#\d+L?, ", x)]
             assert ranked
             for i in ranked:
                 dealt = next(x for x in lines[i:] if "Exchange " in x)

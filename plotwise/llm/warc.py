@@ -230,6 +230,10 @@ def read_archives(index: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write, normalise and read back `pages`; an empty table gives an empty result."""
+    """Write, normalise and read back `pages`; an empty table gives an empty result.
+
+    NULL html is an empty payload. Rows that repeat a page_id and its payload are
+    each a response, as no smaller page_id holds it; pages of any length stream.
+    """
     folder = scratch(pages.sparkSession)
     return read_archives(normalise_archives(write_archives(pages, folder), folder))

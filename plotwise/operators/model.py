@@ -7,7 +7,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Normalizer, RFormula, RobustScaler, StandardScaler, VectorAssembler
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from plotwise.functions import numbers as N
 from plotwise.operators import ordering as O
 from plotwise.operators.stats import regression_metrics
+from plotwise.session import stored
 
 
 def assembler(cols: list[str], out: str = "features") -> VectorAssembler:
@@ -176,7 +176,7 @@ def oof_predict(df: DataFrame, est: Estimator, fold: str, k: int, out: str = "pr
     predictions come back on the original one.  Fits run over the whole data,
     one per fold; rows are scored in place, so no join is needed.
     """
-    work = df.persist(StorageLevel.MEMORY_AND_DISK)
+    work = stored(df)
     parts = []
     for i in range(k):
         train = work.where(F.col(fold) != i)
@@ -320,8 +320,11 @@ def quantile_forest(model: PipelineModel, train: DataFrame, score: DataFrame, y:
         if leaves.empty:
             return pd.Series([], dtype=object)
         at = np.vstack(leaves.to_numpy()).astype(int)
-        values = shared.value[np.arange(at.shape[1])[None, :], at]
-        return pd.Series(list(np.nanquantile(values, probs, axis=1).T))
+        values = np.sort(shared.value[np.arange(at.shape[1])[None, :], at], axis=1)  # NaN last
+        spot = np.maximum(np.isfinite(values).sum(axis=1, keepdims=True) - 1, 0) * np.array(probs)
+        low = np.take_along_axis(values, np.floor(spot).astype(int), axis=1)
+        high = np.take_along_axis(values, np.ceil(spot).astype(int), axis=1)
+        return pd.Series(list(low + (high - low) * (spot - np.floor(spot))))
 
     return scored.select(*score.columns, quantiles("_leaves").alias(out))
 

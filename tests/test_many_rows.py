@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plotwise.operators import forests as R
+from plotwise.operators import model as M
 
 
 def grown(x, depth, rng):
@@ -54,3 +56,37 @@ def test_rows_are_scored_over_many_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and sum(v is None for v in got.values()) == 6
+
+
+def test_boosting_learns_from_bounded_tasks(spark, monkeypatch):
+    """One input partition is dealt to as many tasks as its rows need."""
+    seen = []
+    monkeypatch.setattr(M.Dealt, "most", 20)
+    monkeypatch.setattr(M.Pipeline, "_fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.columns, df.count())))
+    df = spark.range(900).coalesce(1).selectExpr("id", "cast(id % 7 as double) a", "cast(id % 7 * 2 as double) y")
+    M.boosted(["a"], "y", rounds=2).fit(df)
+    assert seen == [(45, ["a", "y"], 900)]
+
+
+def test_supplied_folds_need_no_python(spark):
+    df = spark.range(90).selectExpr("id", "cast(id % 3 as int) fold", "cast(id as double) y")
+    cv = M.SuppliedFolds(foldCol="fold", numFolds=3)
+    for i, (train, held) in enumerate(cv._kFold(df)):
+        assert {r.fold for r in held.collect()} == {i} and train.count() == 60
+        assert "Python" not in train._jdf.queryExecution().executedPlan().toString()
+    for bad in (F.lit(3), F.lit(-1), F.lit(None).cast("int")):
+        with pytest.raises(ValueError):
+            cv._kFold(df.withColumn("fold", F.when(F.col("id") == 5, bad).otherwise(F.col("fold"))))
+
+
+def test_shuffled_rows_read_their_input_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        calls.add(1)
+        return float(v)
+
+    df = spark.range(50).select("id", counted("id").alias("a"))
+    out = M.with_shuffled(df, ["a"], ["id"]).collect()
+    assert calls.value == 50 and sorted(r._other_a for r in out) == sorted(r.a for r in out)

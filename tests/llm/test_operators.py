@@ -417,6 +417,35 @@ def test_lines_with_a_changed_word(spark):
     assert kept == {i for i, c in want.items() if c == i}
 
 
+def test_line_lists_hold_near_lengths_only(spark):
+    """A shared passage lists lines only beside lines of a near length; what isn't listed doesn't travel."""
+    passage = sentence(77, 12)
+    rows = [(k, f"{sentence(800 + k, n)} {passage} {sentence(900 + k, n)}") for k, n in enumerate((10, 30, 60, 120))]
+    rows += [(10 + k, f"{rows[1][1]}{'!' * k}") for k in range(1, 4)]
+    found = line_dedup.occurrences(spark.createDataFrame(rows, "doc_id long, text string"))
+    lists = line_dedup.substring_lists(found, True)
+    listed = found.join(lists.select("ref").distinct(), "ref").select("doc_id").collect()
+    assert {r.doc_id for r in listed} == {1, 11, 12, 13}
+    assert lists.groupBy("key").count().filter("count < 2").isEmpty()
+
+
+def test_line_sketches_allow_what_edits_do(spark):
+    dice, rows = random.Random(21), []
+    for _ in range(200):
+        a = [dice.choice("abcdefgh é0Z\U0001f600") for _ in range(dice.randrange(0, 400))]
+        b, edits = list(a), dice.randrange(0, 6)
+        for _ in range(edits):
+            at = dice.randrange(len(b) + 1)
+            b[at : at + dice.randrange(2)] = dice.choice(["", "a", "é", "x"])
+        rows.append(("".join(a), "".join(b), edits))
+    rows += [("ab" * 50, "cd" * 50, 3)]
+    df = spark.createDataFrame(rows, "a string, b string, edits int")
+    for c, line in (("x", "a"), ("y", "b")):
+        df = df.withColumn("s", line_dedup.sketch(line)).select("*", *[F.col(f"s.{k}").alias(f"{c}_{k}") for k in line_dedup.SKETCH]).drop("s")
+    found = df.select(line_dedup.few_changes("x", "y", F.col("edits")).alias("few"), line_dedup.counts_allow("x", "y", F.col("edits")).alias("alike")).collect()
+    assert all(r.few and r.alike for r in found[:-1]) and not found[-1].alike
+
+
 def test_many_edits():
     dice = random.Random(12)
     for _ in range(400):
@@ -486,3 +515,14 @@ def test_pii_keeps_columns_of_its_own_names(spark):
     assert found.columns == [*df.columns, "pii"]
     row = found.first()
     assert [row[n] for n in names] == list(range(7)) and [s.kind for s in row.pii] == ["email", "ip"]
+
+
+def test_long_line_lists_block_by_block(spark, monkeypatch):
+    """Blocks of long lists find the classes that the join of short ones finds."""
+    rows = [(k, sentence(k % 9, 34) + " " + sentence(50, 12) + "".join("xyz"[d] * (k // 9 % 4) for d in range(k % 3))) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = lambda: {r.doc_id: r.classes for r in line_dedup.line_digest(df, growing=True).collect()}
+    want = classes()
+    monkeypatch.setattr(line_dedup, "LONG", 2)
+    monkeypatch.setattr(line_dedup, "BLOCK", 7)
+    assert classes() == want

@@ -526,3 +526,15 @@ def test_long_line_lists_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "LONG", 2)
     monkeypatch.setattr(line_dedup, "BLOCK", 7)
     assert classes() == want
+
+
+def test_pairs_of_lines_are_not_rows(spark, monkeypatch):
+    """Anagrams share runs and sketches and are all far from each other: what is stored grows with them, not with their pairs."""
+    words, head = [f"{c * 5}{d}" for c in "abcdef" for d in "uvwxyz"], sentence(8, 25)
+    rows = [(k, " ".join([head, *random.Random(k).sample(words, len(words))])) for k in range(90)]
+    sizes, store = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df: [out := store(df), sizes.append((df.columns, out.count()))][0])
+    found = line_dedup.line_digest(spark.createDataFrame(rows, "doc_id long, text string"), growing=True)
+    assert {r.n_repeated for r in found.collect()} == {0}
+    lists = next(n for columns, n in sizes if "hub" in columns)
+    assert lists < 90 * 89 // 2 and max(n for _, n in sizes) <= lists

@@ -36,3 +36,11 @@ def test_selection_study(spark):
     assert rank == [("good", 3), ("poor", 3), ("bad", 0)]
     best = {r.model: r.rmse_mean for r in out["overall"].collect()}
     assert set(best) == {"linear_pooled", "bounded", "forest"} and best["bounded"] < 0.1
+
+
+def test_selection_study_keeps_folds_as_a_table(spark, monkeypatch):
+    """Folds are read some forty times: by column from a table, never as the rows of a checkpoint."""
+    df = spark.createDataFrame([(i, 0.1 + i % 7 / 10, float(i % 7), "ab"[i % 2], f"w{i % 3}") for i in range(60)], "id int, y double, x double, f string, ward string")
+    monkeypatch.setattr(type(df), "checkpoint", None)
+    out = selection.select_and_compare(df, "y", ["x"], ["f"], {"good": "x + f"}, ["ward"], ["id"], k=2, trees=2)
+    assert {r.model for r in out["overall"].collect()} == {"linear_pooled", "bounded", "forest"}
